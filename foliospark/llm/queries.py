@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, quality, secrets
+from . import decontaminate, licences, pieces, quality, secrets, warc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
 
@@ -31,11 +35,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_secret_scan": op3_secret_scan,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 
@@ -85,6 +96,15 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars
 FROM v
 """
 
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < keeper THEN keeper END AS refers_to
+FROM q
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op9_quality_rules": OP9_SQL, "op10_warc": OP10_SQL}
