@@ -10,7 +10,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch; the row bound alone admits 10 000 very long texts."""
+    """Make a session ready: executors get this package's code, Arrow batches a bound in bytes.
+
+    The bound on rows alone admits 10 000 very long texts in one batch.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="foliospark-code-")) / "foliospark_code.zip"
+        with zipfile.ZipFile(to, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(to))
+        _SHIPPED.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
