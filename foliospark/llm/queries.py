@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_duplicates, decontaminate, licences, near_duplicates, pieces, quality, secrets, warc, word_duplicates
+from . import byte_duplicates, decontaminate, licences, near_duplicates, personal_data, pieces, quality, secrets, warc, word_duplicates
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _QUERIES: dict[str, Query] = {
+    "op1_personal_data": op1_personal_data,
     "op2_decontamination": op2_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
@@ -62,6 +73,7 @@ _QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 
 
