@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from .plans import retrieval
+from .plans.retrieval import flagship
+
+__all__ = ["flagship", "oracle_sql", "queries"]
+
+_MODULES = [retrieval]
+
 
 def queries():
-    return {}
+    return {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
