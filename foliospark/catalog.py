@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import retrieval
+from .plans import knowledge, retrieval
 from .plans.retrieval import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
-_MODULES = [retrieval]
+_MODULES = [retrieval, knowledge]
 
 
 def queries():
