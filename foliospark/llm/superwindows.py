@@ -89,6 +89,35 @@ class Windows:
         return text[first], first, stop, least[first]
 
 
+#: Texts travel compressed; what they hold is told by their sizes.
+_ZSTD = "zstd"
+
+
+def _press(data: bytes) -> bytes:
+    return pa.compress(data, codec=_ZSTD, asbytes=True) if data else b""
+
+
+def _unpress(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, codec=_ZSTD, asbytes=True) if size else b""
+
+
+def _short(values: np.ndarray, n_shards: int) -> bytes:
+    """Five bytes for each anchor of a shard: with the shard's number they still tell anchors apart."""
+    return (values // np.uint64(n_shards)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
+def _keys(values: np.ndarray, n_shards: int) -> np.ndarray:
+    """Shard and short form of anchors as one number."""
+    n = np.uint64(n_shards)
+    return (values % n) << np.uint64(40) | (values // n) & np.uint64((1 << 40) - 1)
+
+
 def _shards_of(values: np.ndarray, n: int) -> np.ndarray:
     return (values % np.uint64(n)).astype(np.int64)
 
@@ -101,7 +130,7 @@ def _pack_rows(windows: Windows, pack_bytes: int):
             if windows.words:
                 blobs = [b" ".join(b.split()) + b"\n" for b in blobs]
             for a, b in packs(blobs, pack_bytes):
-                row = [[ids[a:b]], [list(map(len, blobs[a:b]))], [b"".join(blobs[a:b])]]
+                row = [[ids[a:b]], [list(map(len, blobs[a:b]))], [_press(b"".join(blobs[a:b]))]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)], names=["ids", "lengths", "data"])
 
     return run
@@ -109,7 +138,7 @@ def _pack_rows(windows: Windows, pack_bytes: int):
 
 def _read(windows: Windows, ids, lengths, data) -> Pack:
     own = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
-    return windows.pack(own, np.array(lengths, dtype=np.int64), data)
+    return windows.pack(own, np.array(lengths, dtype=np.int64), _unpress(data, sum(lengths)))
 
 
 def _anchor_rows(windows: Windows, n_shards: int):
@@ -136,7 +165,7 @@ def _anchor_rows(windows: Windows, n_shards: int):
                 rows = []
                 for s in np.unique(shard):
                     here = shard == s
-                    rows.append((int(s), pack_id, own[here & ~many].tobytes(), own[here & many].tobytes()))
+                    rows.append((int(s), pack_id, _short(own[here & ~many], n_shards), _short(own[here & many], n_shards)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "pack", "once", "many"])
 
     return run
@@ -145,8 +174,9 @@ def _anchor_rows(windows: Windows, n_shards: int):
 def _answer_anchors(hot_packs: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table["pack"].to_numpy()
-        once = [np.frombuffer(x, np.uint64) for x in table["once"].to_pylist()]
-        many = [np.frombuffer(x, np.uint64) for x in table["many"].to_pylist()]
+        shard = np.uint64(table["shard"][0].as_py() << 40)
+        once = [_long(x) for x in table["once"].to_pylist()]
+        many = [_long(x) for x in table["many"].to_pylist()]
         values = np.concatenate([*once, *many])
         owner = np.repeat(np.tile(np.arange(len(ids)), 2), [len(x) for x in (*once, *many)])
         known = np.arange(len(values)) >= sum(map(len, once))
@@ -163,7 +193,7 @@ def _answer_anchors(hot_packs: int):
         by = np.argsort(owner, kind="stable")
         values, owner, hot = values[by], owner[by], hot[by]
         cut = np.searchsorted(owner, np.arange(len(ids) + 1))
-        rows = [(int(p), values[a:b][~hot[a:b]].tobytes(), values[a:b][hot[a:b]].tobytes()) for p, a, b in zip(ids, cut, cut[1:], strict=False) if b > a]
+        rows = [(int(p), (values[a:b][~hot[a:b]] | shard).tobytes(), (values[a:b][hot[a:b]] | shard).tobytes()) for p, a, b in zip(ids, cut, cut[1:], strict=False) if b > a]
         return pa.table([pa.array([r[c] for r in rows], type=t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["pack", "some", "hot"])
 
     return run
@@ -201,7 +231,8 @@ def _among(values: np.ndarray, blobs: list[bytes]) -> np.ndarray:
 
 def _segments(windows: Windows, n_shards: int, pack_id: int, pack: Pack, some: list[bytes], hot: list[bytes]) -> pa.RecordBatch:
     text, first, stop, anchors = windows.runs(pack)
-    wanted, cut = _among(anchors, some), _among(anchors, hot)
+    keys = _keys(anchors, n_shards)
+    wanted, cut = _among(keys, some), _among(keys, hot)
     if cut.any():
         n = (stop - first)[cut]
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[cut], n)
@@ -241,7 +272,7 @@ def _segments(windows: Windows, n_shards: int, pack_id: int, pack: Pack, some: l
         here = order[bounds[s] : bounds[s + 1]]
         j = at[here]
         contents = [sent[h][1] for h in here]
-        rows.append((s, pack_id, anchors[j].tobytes(), text[j].astype(np.int64).tobytes(), local[j].astype(np.int64).tobytes(), pack.ids[text[j]].tobytes(), np.array([sent[h][2] for h in here], dtype=np.int64).tobytes(), np.array(list(map(len, contents)), dtype=np.int64).tobytes(), b"".join(contents), b""))
+        rows.append((s, pack_id, anchors[j].tobytes(), text[j].astype(np.int64).tobytes(), local[j].astype(np.int64).tobytes(), pack.ids[text[j]].tobytes(), np.array([sent[h][2] for h in here], dtype=np.int64).tobytes(), np.array(list(map(len, contents)), dtype=np.int64).tobytes(), _press(b"".join(contents)), b""))
     if gone:
         j = np.array(gone)
         flat = np.stack([text[j], local[j], local[j] + (last - first)[j]], axis=1).astype(np.int64)
@@ -273,7 +304,7 @@ def _answer_segments(windows: Windows, decide: Decide):
         columns = [table[c].to_pylist() for c in ("anchors", "texts", "starts", "ids", "weights", "sizes", "data")]
         for row, (anchors, texts, starts, ids, weights, sizes, data) in enumerate(zip(*columns, strict=True)):
             values = [np.frombuffer(anchors, np.uint64).tolist(), *(np.frombuffer(x, np.int64).tolist() for x in (texts, starts, ids, weights, sizes))]
-            at = 0
+            at, data = 0, _unpress(data, sum(values[5]))
             for anchor, text, start, own, weight, size in zip(*values, strict=True):
                 by.setdefault(anchor, []).append(Segment(row, text, start, own, weight, data[at : at + size]))
                 at += size
@@ -303,7 +334,7 @@ def apply_windows(docs: DataFrame, id_col: str, text_col: str, windows: Windows,
     packed = rows.mapInArrow(_pack_rows(windows, pack_bytes), "ids array<long>, lengths array<int>, data binary")
     packed = stored(packed.withColumn("pack", F.monotonically_increasing_id()), "packs").select("pack", "ids", "lengths", "data")
     total = packed.agg(F.sum(F.length("data"))).first()[0] or 0
-    n_shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES)
+    n_shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // SHARD_BYTES)  # texts are pressed to half or less
 
     anchors = packed.mapInArrow(_anchor_rows(windows, n_shards), "shard int, pack long, once binary, many binary")
     asked = stored(anchors.groupBy("shard").applyInArrow(_answer_anchors(hot_packs), "pack long, some binary, hot binary"), "anchors")
@@ -322,7 +353,7 @@ def apply_windows(docs: DataFrame, id_col: str, text_col: str, windows: Windows,
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, lengths, data, blobs = (batch.column(c)[k].as_py() for c in range(4))
-                pack = _read(windows, ids, lengths, data) if windows.words else Pack(np.zeros(len(ids)), np.concatenate([[0], np.cumsum(lengths)]), None, data)
+                pack = _read(windows, ids, lengths, data) if windows.words else Pack(np.zeros(len(ids)), np.concatenate([[0], np.cumsum(lengths)]), None, _unpress(data, sum(lengths)))
                 columns = report(pack, removed(pack, blobs))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip([ids, *columns], schema.types, strict=True)], schema=schema)
 
