@@ -1,5 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
+A graph of at most ``SMALL_GRAPH`` links is one task's work instead, by union-find: that
+number is checked, bounds the task's memory, and gives the same rows.
+
 Nothing leaves the executors; each round is stored, so lineage stays short and a
 lost executor costs one round at most.  The number of rounds grows with the
 logarithm of the longest path.
@@ -7,11 +10,38 @@ logarithm of the longest path.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import drop_stored, stored
 
+#: Links of a graph that one task may take: some 50 MB in a Python worker.
+SMALL_GRAPH = 200_000
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all links of one task: (node, root), the root being the least node."""
+    above: dict = {}
+    schema = None
+
+    def root(x):
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    if schema is not None:
+        nodes = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, type=schema.types[0]), pa.array([root(x) for x in nodes], type=schema.types[0])], names=["node", "root"])
+
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Hang neighbours on the least node of each neighbourhood; hubs are pre-aggregated by ``min``."""
@@ -28,12 +58,15 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(edges: DataFrame, label: str = "components", small: int = SMALL_GRAPH) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the least node of its component.
 
     Rows with a null end, loops and repeated edges do no harm; no edges give no rows.
     """
     held = stored(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct(), label)
+    if held.count() <= small:
+        kind = held.schema["a"].dataType.simpleString()
+        return held.coalesce(1).mapInArrow(_join_all, f"node {kind}, root {kind}")
     seen = None
     while True:
         made = stored(_star(_star(held, small=False), small=True), label)
