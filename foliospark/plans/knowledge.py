@@ -421,9 +421,9 @@ def event_replay(spark, sf):
     return e.where("event_id > 100").join(F.broadcast(mark), "user_id", "left_semi").select("event_id")
 
 
-@query("count_or_timeout_windows", """WITH RECURSIVE t AS (SELECT user_id, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-p AS (SELECT user_id, event_id, at, k, CAST(1 AS BIGINT) AS win, at AS opened, CAST(1 AS BIGINT) AS n FROM t WHERE k = 1
- UNION ALL SELECT t.user_id, t.event_id, t.at, t.k, CASE WHEN p.n >= 4 OR t.at - p.opened >= 21600000000 THEN p.win + 1 ELSE p.win END, CASE WHEN p.n >= 4 OR t.at - p.opened >= 21600000000 THEN t.at ELSE p.opened END, CASE WHEN p.n >= 4 OR t.at - p.opened >= 21600000000 THEN 1 ELSE p.n + 1 END
+@query("count_or_timeout_windows", """WITH RECURSIVE t AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+p AS (SELECT user_id, event_id, us, k, CAST(1 AS BIGINT) AS win, us AS opened, CAST(1 AS BIGINT) AS n FROM t WHERE k = 1
+ UNION ALL SELECT t.user_id, t.event_id, t.us, t.k, CASE WHEN p.n >= 4 OR t.us - p.opened >= 21600000000 THEN p.win + 1 ELSE p.win END, CASE WHEN p.n >= 4 OR t.us - p.opened >= 21600000000 THEN t.us ELSE p.opened END, CASE WHEN p.n >= 4 OR t.us - p.opened >= 21600000000 THEN 1 ELSE p.n + 1 END
  FROM p JOIN t ON t.user_id = p.user_id AND t.k = p.k + 1)
 SELECT event_id, win FROM p""")
 def count_or_timeout_windows(spark, sf):
