@@ -6,15 +6,17 @@ into runs of windows with the same anchor; a run's symbols are its segment, and
 window lies in exactly one segment.  Therefore all copies of a window meet in the shard
 of their anchor, and shards can be worked on one by one, however large the corpus.
 
-1. Texts are packed, and the packs stored.
-2. Each pack sends the anchors it has to their shards, once each; a shard answers with
-   those that occur elsewhere too.
-3. Packs send the segments of such anchors, once per distinct content; a shard decides
-   (by suffix array or automaton, see the callers) which windows are to go.
+1. Texts are packed, and the packs stored, compressed.
+2. Each pack tells the shards of its anchors what it has: for every distinct segment its
+   anchor, a hash of its content, and the least id (or how often it stands there).  Copies
+   of a whole segment are settled at once; a shard answers which segments go, and asks for
+   the content of those whose anchor also has other contents.
+3. Packs send these contents; a shard decides (by suffix array or automaton, see the
+   callers) which of their windows are to go.
 4. Packs apply the answers.
 
-Anchors that very many packs hold do not gather in one shard: their segments are cut
-into single windows, which are spread by their own hash.
+Anchors with very many distinct segments do not gather in one shard: these segments are
+cut into single windows, which are spread by their own hash.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .runtime import PACK_BYTES, drop_stored, free_shuffles, packs, stored, text
 
 #: Bytes of packed text that one shard answers for.
 SHARD_BYTES = 12 << 20
-#: Anchors in more packs than this are cut into windows.
-HOT_PACKS = 256
+#: Anchors with more segments than this (each counted once per pack) are cut into windows.
+HOT_PACKS = 4096
 #: Stands for a null id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -48,10 +50,15 @@ class Pack:
     #: Hash of every gram, by start.
     grams: np.ndarray
     data: bytes
+    #: Prefix sums of the bytes, from which any range's hash is read.
+    sums: np.ndarray | None = None
     #: Byte offsets of the start and end of every symbol; None where symbols are bytes.
     starts: np.ndarray | None = None
     ends: np.ndarray | None = None
 
+    def byte_range(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (first, last) if self.starts is None else (self.starts[first], self.ends[last - 1])
+
     def content(self, first: int, last: int) -> bytes:
         """Bytes of the symbols ``first`` to ``last``, exclusive."""
         return self.data[first:last] if self.starts is None else self.data[self.starts[first] : self.ends[last - 1]]
@@ -71,10 +78,12 @@ class Windows:
         buf = np.frombuffer(data, dtype=np.uint8)
         edges = np.concatenate([[0], np.cumsum(lengths)])
         if not self.words:
-            return Pack(ids, edges, hashing.grams(hashing.prefix_sums(buf), self.gram), data)
+            sums = hashing.prefix_sums(buf)
+            return Pack(ids, edges, hashing.grams(sums, self.gram), data, sums)
         starts, ends = hashing.word_bounds(buf)
-        words = hashing.word_hashes(buf, starts, ends)
-        return Pack(ids, np.searchsorted(starts, edges), hashing.shingles(words, self.gram), data, starts, ends)
+        sums = hashing.prefix_sums(buf)
+        words = hashing.ranges(sums, starts, ends)
+        return Pack(ids, np.searchsorted(starts, edges), hashing.shingles(words, self.gram), data, sums, starts, ends)
 
     def runs(self, pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, first window, past the last window, anchor) of every run."""
@@ -101,21 +110,23 @@ def _unpress(data: bytes, size: int) -> bytes:
     return pa.decompress(data, size, codec=_ZSTD, asbytes=True) if size else b""
 
 
-def _short(values: np.ndarray, n_shards: int) -> bytes:
-    """Five bytes for each anchor of a shard: with the shard's number they still tell anchors apart."""
-    return (values // np.uint64(n_shards)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _bytes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def _numbers(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u8")
 
 
-def _keys(values: np.ndarray, n_shards: int) -> np.ndarray:
-    """Shard and short form of anchors as one number."""
-    n = np.uint64(n_shards)
-    return (values % n) << np.uint64(40) | (values // n) & np.uint64((1 << 40) - 1)
+#: Bytes of an anchor, beside its shard's number, and of a content, beside its anchor.
+_ANCHOR, _CONTENT = 5, 6
+#: What a shard answers for a segment: all its windows go; its content is asked for; as windows.
+GONE, SHIP, SPLIT = 1, 2, 4
+#: The segment may repeat one of its windows.
+_SELF = 4
 
 
 def _shards_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -141,146 +152,174 @@ def _read(windows: Windows, ids, lengths, data) -> Pack:
     return windows.pack(own, np.array(lengths, dtype=np.int64), _unpress(data, sum(lengths)))
 
 
-def _anchor_rows(windows: Windows, n_shards: int):
+@dataclass
+class Entries:
+    """The distinct segments of a pack, and the runs that have them."""
+
+    text: np.ndarray
+    first: np.ndarray
+    stop: np.ndarray
+    #: Entry of each run.
+    of: np.ndarray
+    anchors: np.ndarray
+    contents: np.ndarray
+    #: Least id of an entry's runs.
+    ids: np.ndarray
+    #: 1 or 2 (or more) runs, and whether a window may repeat inside.
+    weights: np.ndarray
+    shards: np.ndarray
+
+
+def _entries(windows: Windows, pack: Pack, n_shards: int) -> Entries:
+    text, first, stop, anchors = windows.runs(pack)
+    contents, at, of, count = np.unique(hashing.ranges(pack.sums, *pack.byte_range(first, stop + windows.window - 1)), return_index=True, return_inverse=True, return_counts=True)
+    ids = np.full(len(contents), NO_ID)
+    np.minimum.at(ids, of, pack.ids[text])
+    weights = np.minimum(count, 2)
+    if windows.same_text and len(first):
+        # A gram that comes again within a window's length is a sign of a repeated window.
+        order = np.lexsort((np.arange(len(pack.grams)), pack.grams))
+        values = pack.grams[order]
+        close = np.zeros(len(order) + 1, dtype=np.int64)
+        near = (values[1:] == values[:-1]) & (np.diff(order) <= windows.window)
+        close[1 + order[1:][near]] = 1
+        sums = np.cumsum(close)
+        some = sums[np.minimum(stop + windows.window - windows.gram, len(order))] > sums[first]
+        some |= stop - first > windows.window - windows.gram + 1
+        flagged = np.zeros(len(contents), dtype=bool)
+        flagged[of[some]] = True
+        weights = weights + _SELF * flagged
+    return Entries(text, first, stop, of, anchors[at], contents, ids, weights, _shards_of(anchors[at], n_shards))
+
+
+def _entry_rows(windows: Windows, n_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 pack_id, ids, lengths, data = (batch.column(c)[k].as_py() for c in range(4))
-                pack = _read(windows, ids, lengths, data)
-                text, _, _, anchors = windows.runs(pack)
-                if windows.same_text:
-                    values, count = np.unique(pack.grams, return_counts=True)
-                    own = np.unique(anchors)
-                    many = count[np.searchsorted(values, own)] > 1
-                else:
-                    who = pack.ids[text]
-                    order = np.lexsort((who, anchors))
-                    v, w = anchors[order], who[order]
-                    new = np.ones(len(v), dtype=bool)
-                    new[1:] = v[1:] != v[:-1]
-                    own = v[new]
-                    last = np.append(np.flatnonzero(new)[1:], len(v)) - 1
-                    many = w[new] != w[last[: len(own)]] if len(own) else np.zeros(0, dtype=bool)
-                shard = _shards_of(own, n_shards)
+                e = _entries(windows, _read(windows, ids, lengths, data), n_shards)
+                short = e.anchors // np.uint64(n_shards)
                 rows = []
-                for s in np.unique(shard):
-                    here = shard == s
-                    rows.append((int(s), pack_id, _short(own[here & ~many], n_shards), _short(own[here & many], n_shards)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "pack", "once", "many"])
+                order = np.argsort(e.shards, kind="stable")
+                cuts = np.searchsorted(e.shards[order], np.arange(n_shards + 1))
+                for s in np.unique(e.shards).tolist():
+                    at = order[cuts[s] : cuts[s + 1]]
+                    side = e.weights[at].astype(np.uint8).tobytes() if windows.same_text else e.ids[at].astype("<i8").tobytes()
+                    rows.append((s, pack_id, _bytes(short[at], _ANCHOR), _bytes(e.contents[at], _CONTENT), len(side), _press(side)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["shard", "pack", "anchors", "contents", "size", "side"])
 
     return run
 
 
-def _answer_anchors(hot_packs: int):
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _answer_entries(windows: Windows, hot: int):
+    """Settle whole copies; (pack, shard, answers), a byte for each entry of the pack in that shard."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids = table["pack"].to_numpy()
-        shard = np.uint64(table["shard"][0].as_py() << 40)
-        once = [_long(x) for x in table["once"].to_pylist()]
-        many = [_long(x) for x in table["many"].to_pylist()]
-        values = np.concatenate([*once, *many])
-        owner = np.repeat(np.tile(np.arange(len(ids)), 2), [len(x) for x in (*once, *many)])
-        known = np.arange(len(values)) >= sum(map(len, once))
-        order = np.argsort(values)
-        values, owner, known = values[order], owner[order], known[order]
-        new = np.ones(len(values), dtype=bool)
-        new[1:] = values[1:] != values[:-1]
-        group = np.cumsum(new) - 1
-        held = np.bincount(group)
-        repeated = (held > 1) | (np.bincount(group, weights=known) > 0)
-        hot = (held > hot_packs)[group]
-        keep = repeated[group]
-        values, owner, hot = values[keep], owner[keep], hot[keep]
-        by = np.argsort(owner, kind="stable")
-        values, owner, hot = values[by], owner[by], hot[by]
-        cut = np.searchsorted(owner, np.arange(len(ids) + 1))
-        rows = [(int(p), (values[a:b][~hot[a:b]] | shard).tobytes(), (values[a:b][hot[a:b]] | shard).tobytes()) for p, a, b in zip(ids, cut, cut[1:], strict=False) if b > a]
-        return pa.table([pa.array([r[c] for r in rows], type=t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["pack", "some", "hot"])
+        rows = [[x[c].as_py() for x in table.select(["pack", "anchors", "contents", "size", "side"]).columns] for c in range(table.num_rows)]
+        anchors = [_numbers(r[1], _ANCHOR) for r in rows]
+        sizes = np.array([len(x) for x in anchors])
+        anchor, content = np.concatenate(anchors), np.concatenate([_numbers(r[2], _CONTENT) for r in rows])
+        side = np.frombuffer(b"".join(_unpress(r[4], r[3]) for r in rows), np.uint8 if windows.same_text else "<i8")
+        order = np.lexsort((content, anchor))
+        anchor, content, side = anchor[order], content[order], side[order]
+        by_content = _starts(anchor, content)
+        group = np.cumsum(by_content) - 1
+        by_anchor = _starts(anchor)
+        heads = np.flatnonzero(by_anchor)
+        of = np.cumsum(by_anchor) - 1
+        n_contents = np.add.reduceat(by_content.astype(np.int64), heads)[of]
+        if windows.same_text:
+            total = np.bincount(group, weights=side & 3)[group]
+            gone = total > 1
+            alone = np.add.reduceat((~gone).astype(np.int64), heads)[of] > 0
+            asked = by_content & (((n_contents > 1) & alone) | (~gone & (side >= _SELF)))
+        else:
+            least = np.minimum.reduceat(side, np.flatnonzero(by_content))[group]
+            gone = side > least
+            differ = (np.minimum.reduceat(least, heads) < np.maximum.reduceat(least, heads))[of]
+            asked = ~gone & differ
+        many = np.add.reduceat(asked.astype(np.int64), heads)[of] > hot
+        answer = np.zeros(len(order), dtype=np.uint8)
+        answer[order] = GONE * gone + SHIP * (asked & ~many) + SPLIT * (asked & many)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        shard = table["shard"][0].as_py()
+        out = [(r[0], shard, len(x), _press(x.tobytes())) for r, x in zip(rows, (answer[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True) if x.any()]
+        return pa.table([pa.array([r[c] for r in out], type=t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["pack", "shard", "size", "answers"])
 
     return run
 
 
-_SEGMENT = [("shard", "int", pa.int32()), ("pack", "long", pa.int64()), ("anchors", "binary", pa.binary()), ("texts", "binary", pa.binary()), ("starts", "binary", pa.binary()), ("ids", "binary", pa.binary()), ("weights", "binary", pa.binary()), ("sizes", "binary", pa.binary()), ("data", "binary", pa.binary()), ("gone", "binary", pa.binary())]
+_SEGMENT = [("shard", "int", pa.int32()), ("pack", "long", pa.int64()), ("n", "long", pa.int64()), ("meta", "binary", pa.binary()), ("size", "long", pa.int64()), ("data", "binary", pa.binary()), ("gone", "binary", pa.binary())]
+_META = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("text", "<i4"), ("start", "<i4"), ("size", "<i4"), ("weight", "<i4")])
 _REPLY = "pack long, gone binary"
 
 
 def _segment_rows(windows: Windows, n_shards: int):
-    """Segments of the anchors asked for, each content once per pack.
-
-    ``gone`` carries what the pack itself decides: every occurrence of a content but
-    those of the least id (or, where places in one text count, of a repeated content).
-    Rows of it: text, first symbol, past the last.
-    """
+    """Contents that were asked for; ``gone`` carries what is settled: (text, first symbol, past the last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                pack_id, ids, lengths, data, some, hot = (batch.column(c)[k].as_py() for c in range(6))
-                yield _segments(windows, n_shards, pack_id, _read(windows, ids, lengths, data), some, hot)
+                pack_id, ids, lengths, data, answers = (batch.column(c)[k].as_py() for c in range(5))
+                yield _segments(windows, n_shards, pack_id, _read(windows, ids, lengths, data), answers or [])
 
     return run
 
 
-def _among(values: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-    asked = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in blobs] or [np.zeros(0, np.uint64)]))
-    if not len(asked):
-        return np.zeros(len(values), dtype=bool)
-    at = np.searchsorted(asked, values)
-    at[at == len(asked)] = 0
-    return asked[at] == values
-
-
-def _segments(windows: Windows, n_shards: int, pack_id: int, pack: Pack, some: list[bytes], hot: list[bytes]) -> pa.RecordBatch:
-    text, first, stop, anchors = windows.runs(pack)
-    keys = _keys(anchors, n_shards)
-    wanted, cut = _among(keys, some), _among(keys, hot)
-    if cut.any():
-        n = (stop - first)[cut]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[cut], n)
-        alone = [pack.content(a, a + windows.window) for a in at.tolist()]
-        joined = b"".join(alone)
-        ends = np.cumsum(list(map(len, alone)))
-        own = hashing.ranges(hashing.prefix_sums(np.frombuffer(joined, np.uint8)), np.concatenate([[0], ends[:-1]]), ends)
-        text = np.concatenate([text[wanted], np.repeat(text[cut], n)])
-        first, stop, anchors = np.concatenate([first[wanted], at]), np.concatenate([stop[wanted], at + 1]), np.concatenate([anchors[wanted], own])
+def _segments(windows: Windows, n_shards: int, pack_id: int, pack: Pack, answers: list[dict]) -> pa.RecordBatch:
+    e = _entries(windows, pack, n_shards)
+    answer = np.zeros(len(e.contents), dtype=np.uint8)
+    order = np.argsort(e.shards, kind="stable")
+    cuts = np.searchsorted(e.shards[order], np.arange(n_shards + 1))
+    for a in answers:
+        s = a["shard"]
+        answer[order[cuts[s] : cuts[s + 1]]] = np.frombuffer(_unpress(a["answers"], a["size"]), np.uint8)
+    own = answer[e.of]
+    gone = (own & GONE) > 0
+    if windows.same_text:
+        # One run speaks for its entry; where all of it goes, it stands for two or more.
+        speaker = np.zeros(len(own), dtype=bool)
+        speaker[np.unique(e.of, return_index=True)[1]] = True
     else:
-        text, first, stop, anchors = text[wanted], first[wanted], stop[wanted], anchors[wanted]
-    local = first - pack.edges[text]
-    last = stop + windows.window - 1
-    groups: dict[bytes, list[int]] = {}
-    for j, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-        groups.setdefault(pack.content(a, b), []).append(j)
-    gone: list[int] = []
-    sent: list[tuple[int, bytes, int]] = []
-    for content, places in groups.items():
-        if windows.same_text:
-            sent.append((places[0], content, len(places)))
-            if len(places) > 1:
-                gone += places
-        else:
-            least = min(pack.ids[text[j]] for j in places) if len(places) > 1 else None
-            for j in places:
-                if least is None or pack.ids[text[j]] == least:
-                    sent.append((j, content, 1))
-                else:
-                    gone.append(j)
-    at = np.array([s[0] for s in sent], dtype=np.int64)
-    shard = _shards_of(anchors[at], n_shards)
+        speaker = pack.ids[e.text] == e.ids[e.of]
+        gone |= ~speaker
+    weight = 1 + gone.astype(np.int32)
+    whole, split = np.flatnonzero(speaker & ((own & SHIP) > 0)), np.flatnonzero(speaker & ((own & SPLIT) > 0))
+    n = (e.stop - e.first)[split]
+    single = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - e.first[split], n)
+    run = np.concatenate([whole, np.repeat(split, n)])
+    first = np.concatenate([e.first[whole], single])
+    last = np.concatenate([e.stop[whole], single + 1]) + windows.window - 1
+    anchors = np.concatenate([e.anchors[e.of[whole]], hashing.ranges(pack.sums, *pack.byte_range(single, single + windows.window))])
+    meta = np.zeros(len(run), dtype=_META)
+    meta["anchor"], meta["id"], meta["text"] = anchors, pack.ids[e.text[run]], e.text[run]
+    meta["start"], meta["weight"] = first - pack.edges[e.text[run]], weight[run]
+    a, b = pack.byte_range(first, last)
+    meta["size"] = b - a
+    shard = _shards_of(anchors, n_shards)
     order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
     rows = []
-    bounds = np.searchsorted(shard[order], np.arange(n_shards + 1))
     for s in np.unique(shard).tolist():
-        here = order[bounds[s] : bounds[s + 1]]
-        j = at[here]
-        contents = [sent[h][1] for h in here]
-        rows.append((s, pack_id, anchors[j].tobytes(), text[j].astype(np.int64).tobytes(), local[j].astype(np.int64).tobytes(), pack.ids[text[j]].tobytes(), np.array([sent[h][2] for h in here], dtype=np.int64).tobytes(), np.array(list(map(len, contents)), dtype=np.int64).tobytes(), _press(b"".join(contents)), b""))
-    if gone:
-        j = np.array(gone)
-        flat = np.stack([text[j], local[j], local[j] + (last - first)[j]], axis=1).astype(np.int64)
-        rows.append((pack_id % n_shards, pack_id, *[b""] * 7, flat.tobytes()))
+        at = order[cuts[s] : cuts[s + 1]]
+        data = b"".join(pack.data[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True))
+        rows.append((s, pack_id, len(at), _press(meta[at].tobytes()), len(data), _press(data), b""))
+    j = np.flatnonzero(gone)
+    if len(j):
+        start = e.first[j] - pack.edges[e.text[j]]
+        flat = np.stack([e.text[j], start, start + (e.stop - e.first)[j] + windows.window - 1], axis=1).astype("<i4")
+        rows.append((pack_id % n_shards, pack_id, 0, b"", 0, b"", flat.tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, (_, _, t) in enumerate(_SEGMENT)], names=[n for n, _, _ in _SEGMENT])
 
 
-@dataclass
+@dataclass(slots=True)
 class Segment:
     """One content in a shard: where it stands (row of the shard's table and place in it), and its bytes."""
 
@@ -301,15 +340,14 @@ def _answer_segments(windows: Windows, decide: Decide):
         packs_ = table["pack"].to_pylist()
         gone: list[list[bytes]] = [[x] for x in table["gone"].to_pylist()]
         by: dict[int, list[Segment]] = {}
-        columns = [table[c].to_pylist() for c in ("anchors", "texts", "starts", "ids", "weights", "sizes", "data")]
-        for row, (anchors, texts, starts, ids, weights, sizes, data) in enumerate(zip(*columns, strict=True)):
-            values = [np.frombuffer(anchors, np.uint64).tolist(), *(np.frombuffer(x, np.int64).tolist() for x in (texts, starts, ids, weights, sizes))]
-            at, data = 0, _unpress(data, sum(values[5]))
-            for anchor, text, start, own, weight, size in zip(*values, strict=True):
-                by.setdefault(anchor, []).append(Segment(row, text, start, own, weight, data[at : at + size]))
-                at += size
+        columns = [table[c].to_pylist() for c in ("n", "meta", "size", "data")]
+        for row, (n, meta, size, data) in enumerate(zip(*columns, strict=True)):
+            at, data = 0, _unpress(data, size)
+            for anchor, own, text, start, length, weight in np.frombuffer(_unpress(meta, n * _META.itemsize), _META).tolist():
+                by.setdefault(anchor, []).append(Segment(row, text, start, own, weight, data[at : at + length]))
+                at += length
         for segment, a, b in decide(list(by.values())):
-            found = np.array([segment.text, segment.start + a, segment.start + b + windows.window - 1], dtype=np.int64)
+            found = np.array([segment.text, segment.start + a, segment.start + b + windows.window - 1], dtype="<i4")
             gone[segment.row].append(found.tobytes())
         rows = [(p, b"".join(g)) for p, g in zip(packs_, gone, strict=True) if any(g)]
         return pa.table([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.binary())], names=["pack", "gone"])
@@ -320,7 +358,7 @@ def _answer_segments(windows: Windows, decide: Decide):
 def removed(pack: Pack, blobs: list[bytes] | None) -> np.ndarray:
     """For every symbol of a pack, whether it goes."""
     step = np.zeros(int(pack.edges[-1]) + 1, dtype=np.int64)
-    flat = np.frombuffer(b"".join(blobs or []), np.int64).reshape(-1, 3)
+    flat = np.frombuffer(b"".join(blobs or []), "<i4").reshape(-1, 3).astype(np.int64)
     np.add.at(step, pack.edges[flat[:, 0]] + flat[:, 1], 1)
     np.add.at(step, pack.edges[flat[:, 0]] + flat[:, 2], -1)
     return np.cumsum(step[:-1]) > 0
@@ -336,15 +374,15 @@ def apply_windows(docs: DataFrame, id_col: str, text_col: str, windows: Windows,
     total = packed.agg(F.sum(F.length("data"))).first()[0] or 0
     n_shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // SHARD_BYTES)  # texts are pressed to half or less
 
-    anchors = packed.mapInArrow(_anchor_rows(windows, n_shards), "shard int, pack long, once binary, many binary")
-    asked = stored(anchors.groupBy("shard").applyInArrow(_answer_anchors(hot_packs), "pack long, some binary, hot binary"), "anchors")
+    entries = packed.mapInArrow(_entry_rows(windows, n_shards), "shard int, pack long, anchors binary, contents binary, size long, side binary")
+    answers = stored(entries.groupBy("shard").applyInArrow(_answer_entries(windows, hot_packs), "pack long, shard int, size long, answers binary"), "answers")
     free_shuffles(spark)
 
-    lists = asked.groupBy("pack").agg(F.collect_list("some").alias("some"), F.collect_list("hot").alias("hot"))
-    segments = packed.join(lists, "pack").select("pack", "ids", "lengths", "data", "some", "hot").mapInArrow(_segment_rows(windows, n_shards), ", ".join(f"{n} {k}" for n, k, _ in _SEGMENT))
+    lists = answers.groupBy("pack").agg(F.collect_list(F.struct("shard", "size", "answers")).alias("answers"))
+    segments = packed.join(lists, "pack", "left").select("pack", "ids", "lengths", "data", "answers").mapInArrow(_segment_rows(windows, n_shards), ", ".join(f"{n} {k}" for n, k, _ in _SEGMENT))
     replies = stored(segments.groupBy("shard").applyInArrow(_answer_segments(windows, decide), _REPLY), "replies")
     free_shuffles(spark)
-    drop_stored(asked)
+    drop_stored(answers)
 
     gone = replies.groupBy("pack").agg(F.collect_list("gone").alias("gone"))
     schema = pa.schema([("id", pa.int64()), *((n, t) for n, _, t in out)])
