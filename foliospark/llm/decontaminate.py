@@ -15,13 +15,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
+from .hashing import FOLD_WORDS, word_bounds
 from .runtime import by_pack, packs, text_bytes, tune
 from .vocabulary import Vocabulary, folded_words, runs
 
@@ -159,11 +161,7 @@ def contamination(
         merged = parts[0].select("id", "n_words", "n_hit", "items")
     else:
         # Several scans of the same rows: those of a row meet by its id and its place among equal ids.
-        from functools import reduce
-
         merged = reduce(DataFrame.unionByName, [p.withColumn("shard", F.lit(k)) for k, p in enumerate(parts)])
-        from pyspark.sql import Window
-
         order = Window.partitionBy("id", "shard").orderBy("n_words")
         merged = (
             merged.withColumn("copy", F.row_number().over(order))
@@ -234,8 +232,6 @@ def decontaminate(
 
 def _cut(index: Index, blobs: list[bytes], max_cover: float, max_span: int):
     """(place, new text, or None to drop) of each text with hits."""
-    from .hashing import FOLD_WORDS, word_bounds
-
     ids, edges = index.vocabulary.pack(blobs)
     hit, found = _spans(index, ids)
     for d in sorted({int(np.searchsorted(edges, start, "right")) - 1 for start, _, _ in found}):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .components import components
-from .runtime import BATCH_BYTES, free_shuffles, packs, stored, text_bytes, tune
+from .runtime import free_shuffles, packs, stored, text_bytes, tune
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -95,12 +95,8 @@ def _sign(blobs: list[bytes]) -> tuple[pa.Array, pa.Array, pa.Array]:
     h, cuts = shingle_sets(blobs)
     n = np.diff(cuts)
     some = n > 0
-    prints = np.zeros((len(blobs), 2), dtype=np.uint64)
-    if some.any():
-        for k in (0, 1):
-            prints[some, k] = np.add.reduceat(hashing.mix(h + np.uint64(k * 0x51ED270B + 1)), cuts[:-1][some])
     keys = signatures(h, cuts)
-    same = pa.array([p.tobytes() if s else None for p, s in zip(prints, some, strict=True)], type=pa.binary())
+    same = pa.array(_prints(h, cuts), type=pa.binary())
     offsets = np.concatenate([[0], np.cumsum(np.where(some, keys.shape[1], 0))])
     return pa.array(n, type=pa.int64()), same, pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
 
@@ -118,12 +114,13 @@ def _sets_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in packs(blobs):
             h, cuts = shingle_sets(blobs[a:b])
-            same = _sign_prints(h, cuts)
+            same = _prints(h, cuts)
             rows = [(s, h[cuts[k] : cuts[k + 1]].tobytes()) for k, s in enumerate(same) if s == asked[a + k]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=pa.binary()) for k in (0, 1)], names=["same", "hashes"])
 
 
-def _sign_prints(h: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
+def _prints(h: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
+    """A 128-bit print of each set, the same whatever the order; None for an empty set."""
     some = np.diff(cuts) > 0
     prints = np.zeros((len(some), 2), dtype=np.uint64)
     if some.any():

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import byte_duplicates, decontaminate, licences, near_duplicates, personal_data, pieces, quality, secrets, warc, word_duplicates
 from .runtime import table
