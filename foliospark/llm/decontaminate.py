@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .automaton import SuffixAutomaton
 from .hashing import FOLD_WORDS, word_bounds
@@ -196,53 +197,68 @@ def decontaminate(
 
     A text with more than ``max_cover`` of its words hit, or a hit span of more than
     ``max_span`` words, is dropped whole.  ``count_col``, where present, gets the new
-    length.  Texts without hits are unchanged, nulls included.
+    length.  Texts without hits are unchanged, nulls included.  Every shard of items
+    reads the unchanged texts; their spans are united before anything is cut.
     """
     spark = docs.sparkSession
     tune(spark)
-    at = docs.columns.index(text_col)
-    count_at = docs.columns.index(count_col) if count_col in docs.columns else None
-    for index in shards(items, item_id, item_text, window, shard_words):
-        shared = spark.sparkContext.broadcast(index)
+    names, schema = docs.columns, docs.schema
+    at = names.index(text_col)
+    count_at = names.index(count_col) if count_col in names else None
+    indexes = [spark.sparkContext.broadcast(index) for index in shards(items, item_id, item_text, window, shard_words)]
+    for k, shared in enumerate(indexes):
+        first, last = k == 0, k + 1 == len(indexes)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, first=first, last=last):
             for batch in batches:
                 blobs = [b or b"" for b in batch.column(at).cast(pa.binary()).to_pylist()]
-                keep = np.ones(len(blobs), dtype=bool)
-                new: dict[int, str] = {}
+                held = [[]] * len(blobs) if first else batch.column(len(names)).to_pylist()
+                hits: dict[int, tuple[int, list[tuple[int, int]]]] = {}
                 for a, b in packs(blobs):
-                    for d, text in _cut(shared.value, blobs[a:b], max_cover, max_span):
-                        keep[a + d] = text is not None
-                        new[a + d] = text or ""
+                    hits.update((a + d, hit) for d, hit in _united(shared.value, blobs[a:b], held[a:b]))
+                batch = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+                if not last:
+                    spans = [[place for span in hits[d][1] for place in span] if d in hits else [] for d in range(len(blobs))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, type=pa.list_(pa.int32()))], names=[*names, "__spans"])
+                    continue
+                new = {d: _cut(blobs[d], *hit, max_cover, max_span) for d, hit in hits.items()}
+                keep = np.ones(len(blobs), dtype=bool)
                 if new:
                     texts = batch.column(at).to_pylist()
                     for d, text in new.items():
-                        texts[d] = text
+                        keep[d] = text is not None
+                        texts[d] = text or ""
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
                     if count_at is not None:
                         counts = batch.column(count_at).to_pylist()
                         for d, text in new.items():
-                            counts[d] = len(text)
+                            counts[d] = len(text or "")
                         batch = batch.set_column(count_at, batch.schema.field(count_at), pa.array(counts, type=batch.schema.field(count_at).type))
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, schema if last else StructType([*schema.fields, StructField("__spans", ArrayType(IntegerType()))]))
     return docs
 
 
-def _cut(index: Index, blobs: list[bytes], max_cover: float, max_span: int):
-    """(place, new text, or None to drop) of each text with hits."""
+def _united(index: Index, blobs: list[bytes], held: list[list[int]]):
+    """(place, (words, hit spans)) of each text with hits, those of ``held`` (start, end, start, ..) among them."""
     ids, edges = index.vocabulary.pack(blobs)
-    hit, found = _spans(index, ids)
-    for d in sorted({int(np.searchsorted(edges, start, "right")) - 1 for start, _, _ in found}):
+    hit, _ = _spans(index, ids)
+    for d, before in enumerate(held):
         own = hit[edges[d] : edges[d + 1] - 1]
-        spans = runs(own, 1)
-        if own.sum() > max_cover * len(own) or max(b - a for a, b in spans) > max_span:
-            yield d, None
-            continue
-        starts, ends = word_bounds(np.frombuffer(blobs[d].translate(FOLD_WORDS), dtype=np.uint8))
-        out, last = [], 0
-        for a, b in spans:
-            out.append(blobs[d][last : starts[a]])
-            last = int(ends[b - 1])
-        yield d, b"".join([*out, blobs[d][last:]]).decode("utf-8", "replace")
+        for a, b in zip(before[::2], before[1::2], strict=True):
+            own[a:b] = True
+        if own.any():
+            yield d, (len(own), runs(own, 1))
+
+
+def _cut(blob: bytes, n_words: int, spans: list[tuple[int, int]], max_cover: float, max_span: int) -> str | None:
+    """The text without its hit spans, or None to drop it."""
+    if sum(b - a for a, b in spans) > max_cover * n_words or max(b - a for a, b in spans) > max_span:
+        return None
+    starts, ends = word_bounds(np.frombuffer(blob.translate(FOLD_WORDS), dtype=np.uint8))
+    out, last = [], 0
+    for a, b in spans:
+        out.append(blob[last : starts[a]])
+        last = int(ends[b - 1])
+    return b"".join([*out, blob[last:]]).decode("utf-8", "replace")

@@ -48,3 +48,25 @@ def test_repeated_and_null_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, SF)
     assert none.count() == 0
+
+
+def test_decontaminate_by_shards(spark):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda a, b: " ".join(words[a:b])
+    other = " ".join(f"o{i}" for i in range(40))
+    items = [(0, text(0, 12)), (1, text(12, 24)), (2, text(24, 36)), (3, text(100, 112)), (4, text(106, 118)), (5, text(200, 202)), *((10 + k, text(210 + 10 * k, 221 + 10 * k)) for k in range(12))]
+    rows = [
+        (1, text(0, 36) + " " + " ".join(f"p{i}" for i in range(12))),  # three items, 75% in all
+        (2, other + " " + text(100, 118) + " " + other),  # windows of two items overlap
+        (3, " ".join(f"p{i}" for i in range(300)) + " " + text(210, 331)),  # adjacent hits make one span
+        (4, other + " " + text(200, 202) + " " + other),
+        (5, other),
+        (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    # As expected, worked out by hand: 1 and 3 go, and nothing of an item stays.
+    expected = {(2, f"{other}  {other}"), (4, f"{other}  {other}"), (5, other), (None, None)}
+    for shard_words in (5, 30, 200_000):
+        made = decontaminate.decontaminate(docs, items, max_span=100, shard_words=shard_words).collect()
+        assert {(r.doc_id, r.text) for r in made} == expected and all(r.n_chars == len(r.text or "") for r in made), shard_words
