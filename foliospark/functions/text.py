@@ -130,10 +130,12 @@ def excel_date(serial: Column) -> Column:
 
 
 def column_name(number: Column) -> Column:
-    """A1-style letters of a column number from 1 to 18 278."""
-    letter = lambda n: F.char(n + 65)
-    n = number.cast("int") - 1
-    one = letter(n % 26)
-    two = F.when(n >= 26, letter(F.floor(n / 26 - 1).cast("int") % 26)).otherwise("")
-    three = F.when(n >= 702, letter(F.floor((n - 702) / 676).cast("int") % 26)).otherwise("")
-    return F.concat(three, two, one)
+    """A1-style letters of a column number, to some 10**15; nothing for numbers under 1."""
+    n = number.cast("long") - 1
+    letters, first, power = [], 0, 1  # first: the least n with a letter in this place
+    for _ in range(11):
+        letter = F.char((F.floor((n - first) / power) % 26).cast("int") + 65)
+        letters.append(F.when(n >= first, letter).when(n < first, ""))
+        power *= 26
+        first += power
+    return F.concat(*reversed(letters))

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ingest
+from ..operators import ingest, numbering
 from ..session import table
 
 QUERIES: dict = {}
@@ -97,6 +97,13 @@ def chunk_totals(spark, sf):
     return made.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n_chars"))
 
 
+@query("chunk_totals_all")
+def chunk_totals_all(spark, sf):
+    """Of every document with a chunk, whatever its length and blank lines; SQL cannot cut chunks."""
+    made = ingest.document_chunks(table(spark, sf, "documents"), "doc_id", "text", 3000)
+    return made.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n_chars"))
+
+
 @query("evidence_catalog")
 def evidence_catalog(spark, sf):
     made = ingest.per_document(table(spark, sf, "documents"), "doc_id", "text", lambda t: [(q,) for q in ingest.evidence(t)], [("quote", "string", pa.string())])
@@ -127,6 +134,12 @@ def column_names(spark, sf):
     return table(spark, sf, "part").where("p_partkey BETWEEN 1 AND 702").select("p_partkey", T.column_name(F.col("p_partkey")).alias("col"))
 
 
+@query("column_names_all")
+def column_names_all(spark, sf):
+    """Of every key, with as many letters as it needs."""
+    return table(spark, sf, "part").select("p_partkey", T.column_name(F.col("p_partkey")).alias("col"))
+
+
 @query("overlap_range_join", """SELECT a.conv_id AS segment, b.vec_id AS merge_id FROM (SELECT conv_id, min(turn) + conv_id AS lo, max(turn) + conv_id AS hi FROM conversations GROUP BY conv_id) a
 JOIN embeddings b ON b.vec_id <= a.hi AND b.vec_id + 3 >= a.lo""")
 def overlap_range_join(spark, sf):
@@ -252,6 +265,14 @@ def shard_manifest(spark, sf):
     return table(spark, sf, "part").where("p_size = 7").select("p_partkey", F.concat(F.lit("shard-"), F.lpad(n, 4, "0")).alias("shard"))
 
 
+@query("shard_manifest_all")
+def shard_manifest_all(spark, sf):
+    """Over the whole table; a shard number of more than four digits keeps them all."""
+    rows = numbering.running(table(spark, sf, "part").select("p_name", "p_partkey"), ["p_name", "p_partkey"])
+    n = (F.floor((F.col("k") - 1) / 6) + 1).cast("string")
+    return rows.select("p_partkey", F.concat(F.lit("shard-"), F.lpad(n, F.greatest(F.length(n), F.lit(4)), F.lit("0"))).alias("shard"))
+
+
 @query("draft_context", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9500)")
 def draft_context(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
@@ -286,9 +307,9 @@ def page_cursor(spark, sf):
 
 @query("page_budget", "WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS k, sum(n_chars) OVER (ORDER BY doc_id) AS used FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500)) SELECT doc_id, k FROM r WHERE used <= 20000 OR k = 1")
 def page_budget(spark, sf):
-    top = table(spark, sf, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(500)
-    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return top.withColumns({"k": F.row_number().over(Window.orderBy("doc_id")).cast("long"), "used": F.sum("n_chars").over(w)}).where("used <= 20000 OR k = 1").select("doc_id", "k")
+    """The budget runs over the whole table; the SQL's 500 rows are more than it ever admits of the given tables."""
+    rows = numbering.running(table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"], sums={"used": F.col("n_chars")})
+    return rows.where("used <= 20000 OR k = 1").select("doc_id", "k")
 
 
 # -- pages and publishing -------------------------------------------------------------------
@@ -347,6 +368,14 @@ def eviction_lru_budget(spark, sf):
     return r.select("p_partkey", ((F.col("age") > 45) | (held > 20000)).alias("evicted"))
 
 
+@query("eviction_lru_budget_all")
+def eviction_lru_budget_all(spark, sf):
+    """One budget over the whole table."""
+    r = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(20,0)").cast("long").alias("bytes"), F.col("p_size").alias("age"))
+    r = numbering.running(r, ["age", "p_partkey"], sums={"held": F.when(F.col("age") > 45, 0).otherwise(F.col("bytes"))})
+    return r.select("p_partkey", ((F.col("age") > 45) | (F.col("held") > 20000)).alias("evicted"))
+
+
 @query("section_ranges", "WITH h AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations) SELECT a.conv_id, a.turn, min(b.turn) AS ends FROM h a LEFT JOIN h b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.level <= a.level GROUP BY 1, 2")
 def section_ranges(spark, sf):
     """The next heading of the same level or above, by one window per level instead of a self-join."""
