@@ -161,20 +161,35 @@ def reference_integrity(spark, sf):
     return table(spark, sf, "labels").select("doc_id", "quality").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
+#: So many short quotes are broadcast at most.
+_SHORT_QUOTES = 10_000
+
+
 @query("quote_in_chunk", r"""WITH b AS (SELECT item_id, regexp_replace(text, '[ \t\r\n]+', ' ', 'g') AS q FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '[ \t\r\n]+', ' ', 'g') AS t FROM documents)
 SELECT item_id, doc_id FROM b JOIN d ON contains(t, q)""")
 def quote_in_chunk(spark, sf):
-    """A quote meets only texts that hold its first five words: an equi-join on a hash, then the substring check."""
+    """A quote meets only texts that hold its second to sixth word: an equi-join on a hash, then the substring check.
+
+    Quotes of fewer than seven words have no such key and meet every text.
+    """
     flat = lambda c: F.regexp_replace(c, r"[ \t\r\n]+", " ")
     quotes = table(spark, sf, "benchmark").select("item_id", flat("text").alias("q"))
     words = F.split("q", " ")
     # The words inside a quote are whole words of a text; those at its ends need not be.
-    quotes = quotes.withColumn("key", F.xxhash64(F.array_join(F.slice(words, 2, 5), " ")))
+    short = quotes.where(F.size(words) < 7)
+    quotes = quotes.where(F.size(words) >= 7).withColumn("key", F.xxhash64(F.array_join(F.slice(words, 2, 5), " ")))
     texts = table(spark, sf, "documents").select("doc_id", flat("text").alias("t")).withColumn("w", F.split("t", " "))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(5)), " ")))
     places = texts.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
     met = places.join(quotes.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    return met.join(quotes, "item_id").join(texts.select("doc_id", "t"), "doc_id").where(F.col("t").contains(F.col("q"))).select("item_id", "doc_id")
+    held = F.col("t").contains(F.col("q"))
+    long = met.join(quotes, "item_id").join(texts.select("doc_id", "t"), "doc_id").where(held).select("item_id", "doc_id")
+    n_short = short.count()
+    if n_short == 0:
+        return long
+    # Counted before they are broadcast; more of them meet the texts in a product of both.
+    short = F.broadcast(short) if n_short <= _SHORT_QUOTES else short
+    return long.unionByName(texts.select("doc_id", "t").join(short, held).select("item_id", "doc_id"))
 
 
 @query("evidence_reuse", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) > 8")

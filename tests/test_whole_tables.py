@@ -75,3 +75,15 @@ def test_running(spark):
         want.append((i, s))
     assert [(r.id, r.s) for r in got] == want and [r.k for r in got] == list(range(1, len(rows) + 1))
     assert numbering.running(df.limit(0), ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("bound", [10_000, 0])
+def test_short_quotes(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(knowledge, "_SHORT_QUOTES", bound, raising=False)
+    quotes = ["one", "ne tw", "one two three four five six", "wo three four five si", "two three four five six seven eight", "wo three four five six seven eig", "absent", "", None]
+    texts = ["zero one two three four five sixth", "one  two\nthree four five six seven eight", "one", "nothing", None]
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.item_id, r.doc_id) for r in knowledge.quote_in_chunk(spark, str(tmp_path)).collect())
+    flat = [" ".join(t.split()) if t is not None else None for t in texts]
+    assert got == [(i, d) for i, q in enumerate(quotes) for d, t in enumerate(flat) if q is not None and t is not None and q in t]
