@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python hold about this many bytes, however long the texts are.
 BATCH_BYTES = 4 << 20
+#: Rows that the Parquet reader decodes at once; its default of 4096 very long texts would fill a heap.
+READER_ROWS = 512
 #: Texts are worked on in packs of about this many bytes; a longer text is a pack of its own.
 PACK_BYTES = 2 << 20
 
@@ -37,6 +39,7 @@ def tune(spark: SparkSession) -> None:
     The bound on rows alone admits 10 000 very long texts in one batch.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
@@ -49,9 +52,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set."""
+    """The cluster's checkpoint folder; one of our own only where none is set and all runs in this process."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("foliospark.checkpoint.dir", "")
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="foliospark-")
         spark.conf.set("foliospark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -4,19 +4,20 @@ Writing is plain DataFrame work: records are text, so Spark's text writer with t
 record separator of the format makes real gzip WARC files in any store that Spark
 can write to.  Of equal payloads one record keeps the bytes; the others are revisits.
 
-Reading parses each archive by its Content-Length fields and gives one run of
-captures per archive, sorted by URL key and time.  Ranges of keys then meet in
-their own partitions, where a loser tree merges the runs; partitions follow each
-other, so the whole is ordered.  Ranges are cut on (key, time, page), so that one
-URL with very many captures spreads over several of them.
+Reading streams each archive, cut at the same separator, and puts records together by
+their Content-Length fields, so that a task holds one record at a time however large
+the archive.  Captures leave in locally sorted runs of bounded length.  Ranges of keys
+then meet in their own partitions, where a loser tree merges the runs; partitions
+follow each other, so the whole is ordered.  Ranges are cut on (key, time, page), so
+that one URL with very many captures spreads over several of them, and their number
+comes from the number of captures, so that none outgrows a task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,10 @@ from .runtime import shared_dir, stored, text_bytes, tune
 
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT_BYTES = 1000
-#: An archive holds about so many payload bytes.
-ARCHIVE_BYTES = 24 << 20
+#: Ends a record, and stands between its header and its block.
+_SEPARATOR = b"\r\n\r\n"
+#: Captures of one sorted run, of one key range, and of one piece of a run that is unpacked for merging.
+RUN_ROWS, RANGE_ROWS, PIECE_ROWS = 20_000, 50_000, 512
 #: Captures without a time of their own get this epoch plus their page id in seconds.
 EPOCH = 1_700_000_000
 
@@ -75,12 +78,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
     )
     shared = stored(revisits(rows.select("page_id", "payload")), "revisits")
-    mean = pages.agg(F.avg(F.length(text_bytes(html_col)))).first()[0] or 1.0
     joined = rows.withColumn("same", F.sha2("payload", 256)).join(shared, ["page_id", "same"], "left")
     again = F.col("refers_to").isNotNull()
-    n = F.length("payload")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit("\r\n\r\n"))
-    block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("html")))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
+    size = F.octet_length(http) + F.when(again, F.lit(0)).otherwise(F.octet_length("html"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value)  # noqa: E731  null where the value is
     identity = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     head = F.concat_ws(
@@ -94,15 +95,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("WARC-Refers-To", identity(F.col("refers_to"))),
         F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: application/http; msgtype=response"),
-        line("Content-Length", F.octet_length(block).cast("string")),
-    )
-    (
-        joined.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("value"))
-        .write.option("lineSep", "\r\n\r\n")
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / max(mean, 1.0))))
-        .text(path)
+        line("Content-Length", size.cast("string")),
     )
+    record = F.concat(head, F.lit("\r\n\r\n"), http, F.when(again, F.lit("")).otherwise(F.col("html")))
+    joined.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -117,19 +113,24 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(name.split("."))) + (f":{port}" if port not in ("", "80", "443") else "") + ")" + (path or "/")
 
 
-def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an archive."""
-    at = 0
-    while at < len(archive):
-        stop = archive.index(b"\r\n\r\n", at)
-        first, *lines = archive[at:stop].decode("utf-8", "replace").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {name.lower(): value for name, _, value in (x.partition(": ") for x in lines)}
-        start = stop + 4
-        end = start + int(fields["content-length"])
-        yield fields, archive[start:end]
-        at = end + 4
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record of archives read piece by piece."""
+    data, at = b"", 0
+    for piece in pieces:
+        data, at = data[at:] + piece, 0
+        while (stop := data.find(_SEPARATOR, at)) >= 0:
+            first, *lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
+            if not first.startswith("WARC/"):
+                raise ValueError(f"no WARC record: {first[:40]!r}")
+            fields = {name.lower(): value for name, _, value in (x.partition(": ") for x in lines)}
+            start = stop + len(_SEPARATOR)
+            end = start + int(fields["content-length"])
+            if end + len(_SEPARATOR) > len(data):
+                break  # the rest comes with the next piece
+            yield fields, data[start:end]
+            at = end + len(_SEPARATOR)
+    if data[at:].strip():
+        raise ValueError("an archive ends within a record")
 
 
 def _page(identity: str | None) -> int | None:
@@ -154,22 +155,32 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, (_, _, t) in enumerate(_CAPTURE)], schema=_SCHEMA)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """What the separator was cut from, whole again, batch by batch."""
     for batch in batches:
-        for content in batch.column(0):
-            run = sorted((_capture(*r) for r in records(zlib.decompress(content.as_py(), 31))), key=_order)
-            if run:
-                yield _batch(run)
+        if batch.num_rows:
+            yield _SEPARATOR.join([*batch.column(0).to_pylist(), b""])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    run: list[tuple] = []
+    for fields, block in records(_lines(batches)):
+        run.append(_capture(fields, block))
+        if len(run) == RUN_ROWS:
+            yield _batch(sorted(run, key=_order))
+            run = []
+    if run:
+        yield _batch(sorted(run, key=_order))
 
 
 class LoserTree:
     """Merges k sorted runs; each step replays one path of about log2(k) matches."""
 
-    def __init__(self, runs: list[list[tuple]]) -> None:
-        self.runs = runs
-        self.at = [0] * len(runs)
+    def __init__(self, runs: list[Iterable[tuple]]) -> None:
+        self.runs = [iter(r) for r in runs]
         self.k = max(1, len(runs))
-        self.keys = [_order(r[0]) if r else None for r in runs] or [None]
+        self.rows = [next(r, None) for r in self.runs] or [None]
+        self.keys = [r and _order(r) for r in self.rows]
         self.losers = [-1] * self.k
         for i in range(self.k):
             self._replay(i)
@@ -193,25 +204,42 @@ class LoserTree:
     def __iter__(self) -> Iterator[tuple]:
         while self.keys[self.winner] is not None:
             i = self.winner
-            yield self.runs[i][self.at[i]]
-            self.at[i] += 1
-            self.keys[i] = _order(self.runs[i][self.at[i]]) if self.at[i] < len(self.runs[i]) else None
+            yield self.rows[i]
+            self.rows[i] = next(self.runs[i], None)
+            self.keys[i] = self.rows[i] and _order(self.rows[i])
             self._replay(i)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted stretches of a partition are its runs, wherever the shuffle cut them."""
-    runs: list[list[tuple]] = []
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch, a piece of it unpacked at a time."""
+    for a in range(0, batch.num_rows, PIECE_ROWS):
+        yield from zip(*(c.to_pylist() for c in batch.slice(a, PIECE_ROWS).columns), strict=True)
+
+
+def _sorted_stretches(batches: Iterator[pa.RecordBatch]) -> list[list[pa.RecordBatch]]:
+    """The runs of a partition, wherever the shuffle cut them; rows stay packed."""
+    runs: list[list[pa.RecordBatch]] = []
+    last = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if runs and _order(runs[-1][-1]) <= _order(row):
-                runs[-1].append(row)
-            else:
-                runs.append([row])
+        start = 0
+        for k, row in enumerate(_rows(batch.select(["url_key", "captured", "page_id"]))):
+            key = _order(row)
+            if last is None or key < last:
+                if k > start:
+                    runs[-1].append(batch.slice(start, k - start))
+                runs.append([])
+                start = k
+            last = key
+        if batch.num_rows > start:
+            runs[-1].append(batch.slice(start))
+    return runs
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    for row in LoserTree(runs) if runs else ():
+    for row in LoserTree([(row for part in run for row in _rows(part)) for run in _sorted_stretches(batches)]):
         out.append(row)
-        if len(out) == 10_000:
+        if len(out) == 4096:
             yield _batch(out)
             out = []
     if out:
@@ -223,11 +251,15 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
     Columns: url_key, captured, page_id, url, record_type, payload_digest (bare hex),
     payload_bytes, refers_to, intact (the payload has the digest that its header names).
+    A record without a target has the empty key; one whose id is not a page's has a null
+    page_id; repeated records stay; empty archives give no rows; a cut one is an error.
+    Memory is one record and one batch, however long the payloads.
     """
     tune(spark)
-    parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, _DDL)
-    runs = stored(parsed, "captures")
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(_merge, _DDL)
+    lines = spark.read.option("lineSep", "\r\n\r\n").text(path).select(F.col("value").cast("binary"))
+    runs = stored(lines.mapInArrow(_parse, _DDL), "captures")
+    n_ranges = max(8, -(-runs.count() // RANGE_ROWS))
+    return runs.repartitionByRange(n_ranges, "url_key", "captured", "page_id").mapInArrow(_merge, _DDL)
 
 
 def capture_histories(pages: DataFrame, **columns: str) -> DataFrame:
@@ -236,6 +268,7 @@ def capture_histories(pages: DataFrame, **columns: str) -> DataFrame:
     An empty table writes one empty archive and gives no captures.
     """
     spark = pages.sparkSession
+    tune(spark)
     path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     write_archives(pages, path, **columns)
     return read_captures(spark, path)
