@@ -1,13 +1,18 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.  DataFrame functions only.
 
-The matches of the base patterns are seeds.  The words around a seed are lexical
-patterns.  Patterns and instances form a graph: a pattern is trusted as far as what
-stands in it is known, an instance as far as it stands in trusted patterns.  After
-some rounds, tokens with enough digits in trusted patterns are identifiers too.
+A text is a row of items: words, or runs of number groups.  Items that hold a match of a
+base pattern are seeds.  The words around a seed, digits told apart by their places only,
+are lexical patterns: two words before it, one before and one after, one before, one
+after.  A pattern competes once it has enough different seeds and its seeds are no
+accident among all its places in the corpus.  Patterns and what stands in them form a
+graph: a pattern is trusted as far as what stands in it is known, an instance as far as
+it stands in trusted patterns, over some rounds.  What is trusted enough becomes a seed:
+all its places in the corpus induce further patterns, until nothing new is found.
 
 Places come from cutting a text at its matches: the lengths of gaps and matches, summed
 up in two levels, so that a text with very many matches takes no quadratic time.  All
 expressions are linear in the text: possessive, and anchored where a match can begin.
+A text of n megabytes takes some 20 n megabytes of a task's memory while it is cut.
 """
 
 from __future__ import annotations
@@ -26,11 +31,16 @@ KINDS: list[tuple[str, str, str]] = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 ]
 _SPACE = r"\x20\x09-\x0D"
-#: Tokens with a digit; those with MIN_DIGITS of them may turn out to be identifiers.
-_TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
-MIN_DIGITS = 6
-#: Different seeds that a pattern must have, trust that it needs, rounds, and trust that makes an identifier.
-MIN_SEEDS, MIN_TRUST, ROUNDS, ACCEPT = 3, 0.7, 3, 0.9
+#: Items of a text: a run of short number groups joined by single spaces, or what stands between spaces.
+_GROUP = rf"[0-9()-]{{1,9}}+(?![^{_SPACE},;:!?\"'])"
+_ITEM = rf"(?<![^{_SPACE}])\+?{_GROUP}(?:\x20{_GROUP})++[,;:!?\"']*+(?![^{_SPACE}])|[^{_SPACE}]++"
+#: Punctuation around an item that is not part of its value.
+_MARKS = r"\"')\]>},.;:!?*|&$%#"
+_OPEN, _CLOSE = r"^[\"'(\[<{*|#]*+", rf"(?<![{_MARKS}])[{_MARKS}]++$"
+#: Different seeds of one kind that a pattern must have, share of its places that must hold one, trust that it needs, and trust that makes an identifier.
+MIN_SEEDS, MIN_RATE, MIN_TRUST, ACCEPT = 3, 0.05, 0.7, 0.9
+#: Rounds of scoring between two extensions of the graph.
+ROUNDS = 3
 #: What an instance that is not known counts against a pattern.
 UNKNOWN = 0.2
 _BLOCK = 512
@@ -50,13 +60,30 @@ def _sums(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, made).otherwise(F.array().cast("array<int>"))
 
 
-def _cut(text: str, pattern: str, needs: str) -> tuple[Column, Column]:
+def _cut(text: str | Column, pattern: str, needs: str) -> tuple[Column, Column]:
     """Matches of a pattern, and the gaps around them (one more)."""
-    some = F.col(text).contains(needs) if len(needs) == 1 else F.col(text).rlike(needs)
+    text = F.col(text) if isinstance(text, str) else text
+    some = text.contains(needs) if len(needs) == 1 else text.rlike(needs)
     nothing = F.array().cast("array<string>")
     return F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(nothing), F.when(some, F.split(text, pattern, -1)).otherwise(nothing)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is named once, so that nested expressions don't multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _swapped(text: Column, pattern: str, needs: str, swap) -> Column:
+    """A text with every match of a pattern replaced by ``swap`` of it."""
+
+    def one(t: Column) -> Column:
+        matches, gaps = _cut(t, pattern, needs)
+        both = lambda c: F.concat(F.get(c["gaps"], F.lit(0)), F.array_join(F.transform(c["matches"], lambda m, k: F.concat(swap(m), F.get(c["gaps"], k + 1))), ""))
+        return _let(F.struct(matches.alias("matches"), gaps.alias("gaps")), lambda c: F.when(F.size(c["matches"]) > 0, both(c)).otherwise(t))
+
+    return _let(text, one)
+
+
 def _luhn(digits: Column) -> Column:
     """Whether a string of digits passes Luhn's check."""
 
@@ -79,27 +106,9 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _marked(text: Column) -> Column:
-    """Left and right neighbours of a gap's end, as pattern keys need them."""
-    return F.lower(F.regexp_extract(F.right(text, F.lit(80)), rf"([^{_SPACE}]+[{_SPACE}]+[^{_SPACE}]+)[{_SPACE}]+$", 1))
-
-
-def _hits(matches: Column, gaps: Column, ends: Column) -> Column:
-    """Structs of start, end, value and the two lexical patterns of every match."""
-
-    def one(end: Column, k: Column) -> Column:
-        value = F.get(matches, k)
-        two = F.regexp_replace(_marked(F.get(gaps, k)), rf"[{_SPACE}]+", " ")
-        after = F.lower(F.regexp_extract(F.left(F.get(gaps, k + 1), F.lit(40)), rf"^[{_SPACE}]+([^{_SPACE}]+)[{_SPACE}]", 1))
-        near = F.regexp_extract(two, r"([^ ]+)$", 1)
-        return F.struct(
-            (end - F.length(value)).alias("start"),
-            end.alias("end"),
-            value.alias("value"),
-            F.filter(F.array(F.when(two != "", F.concat(F.lit("L "), two)), F.when((near != "") & (after != ""), F.concat_ws(" ", F.lit("M"), near, after))), lambda p: p.isNotNull()).alias("near"),
-        )
-
-    return F.transform(ends, one)
+def _hits(matches: Column, ends: Column) -> Column:
+    """Structs of start, end and value of every match."""
+    return F.transform(ends, lambda end, k: F.struct((end - F.length(F.get(matches, k))).alias("start"), end.alias("end"), F.get(matches, k).alias("value")))
 
 
 def _step(gaps: Column):
@@ -110,66 +119,154 @@ def _keeps(kind: str):
     return lambda h: _valid(kind, h["value"])
 
 
-def _instance(kind: Column):
-    return lambda h: F.struct(h["near"].alias("near"), h["value"].alias("value"), kind.alias("kind"))
+def _masking(kind: str):
+    return lambda m: F.when(_valid(kind, m), F.lit(f"<{kind.upper()}>")).otherwise(m)
 
 
-def _masking(kind: str):
-    return lambda m, k: F.concat(F.when(_valid(kind, m), F.lit(f"<{kind.upper()}>")).otherwise(m), F.get(F.col("__g"), k + 1))
+def _text(docs: DataFrame, text_col: str) -> Column:
+    return F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, base spans by kind, and tokens that may be identifiers."""
-    kinds = [*KINDS, ("token", _TOKEN, "[0-9]")]
-    df = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """Per row: id, a key of the text, and base spans by kind."""
+    df = docs.select(docs[id_col].cast("long").alias("id"), _text(docs, text_col).alias("text"))
     cuts: dict[str, Column] = {}
-    for kind, pattern, needs in kinds:
+    for kind, pattern, needs in KINDS:
         cuts[f"m_{kind}"], cuts[f"g_{kind}"] = _cut("text", pattern, needs)
-    df = df.select("id", *(c.alias(n) for n, c in cuts.items()))
-    steps = {f"s_{k}": F.transform(F.col(f"m_{k}"), _step(F.col(f"g_{k}"))) for k, *_ in kinds}
-    df = df.withColumns(steps)
-    df = df.withColumns({f"e_{k}": _sums(F.col(f"s_{k}")) for k, *_ in kinds})
-    df = df.select("id", *(_hits(F.col(f"m_{k}"), F.col(f"g_{k}"), F.col(f"e_{k}")).alias(k) for k, *_ in kinds))
-    keep = {k: F.filter(k, _keeps(k)) for k, *_ in KINDS}
-    keep["token"] = F.filter("token", lambda h: F.length(F.regexp_replace(h["value"], "[^0-9]", "")) >= MIN_DIGITS)
-    return df.withColumns(keep).withColumn("row", F.monotonically_increasing_id())
+    df = df.select("id", F.sha2("text", 256).alias("key"), *(c.alias(n) for n, c in cuts.items()))
+    df = df.withColumns({f"s_{k}": F.transform(F.col(f"m_{k}"), _step(F.col(f"g_{k}"))) for k, *_ in KINDS})
+    df = df.withColumns({f"e_{k}": _sums(F.col(f"s_{k}")) for k, *_ in KINDS})
+    df = df.select("id", "key", *(_hits(F.col(f"m_{k}"), F.col(f"e_{k}")).alias(k) for k, *_ in KINDS))
+    return df.withColumns({k: F.filter(k, _keeps(k)) for k, *_ in KINDS})
 
 
-def _edges(located: DataFrame) -> DataFrame:
-    """The pattern-instance graph: (pattern, value, kind), kind null for what is not known."""
-    known = F.flatten(F.array(*(F.transform(k, _instance(F.lit(k))) for k, *_ in KINDS)))
-    unknown = F.transform("token", _instance(F.lit(None).cast("string")))
-    rows = located.select(F.explode(F.concat(known, unknown)).alias("h")).select(F.explode("h.near").alias("pattern"), "h.value", "h.kind")
-    return rows.distinct()
+# -- the pattern-instance graph ---------------------------------------------------------------
 
 
-def identifiers(edges: DataFrame, min_seeds: int = MIN_SEEDS, min_trust: float = MIN_TRUST, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
-    """(value, kind, score) of unknown instances that trusted patterns make identifiers.
+def _core(item: Column) -> Column:
+    """An item without the punctuation around it."""
+    return F.regexp_replace(F.regexp_replace(item, _OPEN, ""), _CLOSE, "")
 
-    A hot pattern or value is folded by partial sums in every task; the tables that meet
-    are joined by Spark, which splits a hot key.
-    """
+
+def _kind(value: Column) -> Column:
+    """The kind of an item that holds a base match, or null."""
+    some = {
+        "email": value.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]"),
+        "ip": _valid("ip", F.regexp_extract(value, KINDS[1][1], 0)),
+        "card": _valid("card", F.regexp_extract(value, KINDS[2][1], 0)),
+        "phone": _valid("phone", F.regexp_extract(value, KINDS[3][1], 0)),
+    }
+    return F.coalesce(*(F.when(some[k], F.lit(k)) for k, *_ in KINDS))
+
+
+def _shape(word: Column) -> Column:
+    """A neighbour as patterns hold it; null where it looks like an identifier itself."""
+    shape = F.translate(F.lower(word), "123456789", "000000000")
+    return F.when(~shape.rlike(r"@|00[0().-]*0"), shape)
+
+
+def _patterns(items: Column, i: Column) -> Column:
+    """The patterns that place ``i`` of a text stands in."""
+    before, last, after = (_shape(F.get(items, i + k)) for k in (-2, -1, 1))
+    join = lambda name, *words: F.concat(F.lit(name), *(F.concat(F.lit(" "), w) for w in words))  # noqa: E731  null where a word is
+    return F.filter(F.array(join("LL", before, last), join("LR", last, after), join("L", last), join("R", after)), lambda p: p.isNotNull())
+
+
+def _places(docs: DataFrame, text_col: str, digits: bool = False) -> DataFrame:
+    """(value, patterns) of every place of the corpus; with ``digits``, of those that hold a digit or an at sign."""
+    items = docs.select(F.regexp_extract_all(_text(docs, text_col), F.lit(_ITEM), F.lit(0)).alias("items")).where(F.size("items") > 0)
+    where = F.sequence(F.lit(0), F.size("items") - 1)
+    if digits:
+        where = F.filter(where, lambda i: F.get(F.col("items"), i).rlike("[0-9@]"))
+    return items.select(F.inline(F.transform(where, lambda i: F.struct(F.get(F.col("items"), i).alias("value"), _patterns(F.col("items"), i).alias("patterns")))))
+
+
+def _exploded(places: DataFrame, *columns: str) -> DataFrame:
+    return places.select(F.explode("patterns").alias("pattern"), *columns)
+
+
+def _scores(seeds: DataFrame, unknown: DataFrame, min_trust: float, rounds: int, accept: float) -> DataFrame:
+    """(value, kind) of unknown instances that the patterns of ``seeds`` make identifiers."""
     names = [k for k, *_ in KINDS]
-    scored = edges.where("kind IS NULL").groupBy("pattern", "value").agg(F.lit(None).cast("string").alias("guess"), F.lit(0.0).alias("score"))
-    seeds = edges.where("kind IS NOT NULL").groupBy("pattern").agg(
-        F.count(F.lit(1)).alias("n_seeds"), *(F.sum(F.when(F.col("kind") == k, 1.0).otherwise(0.0)).alias(f"seed_{k}") for k in names)
-    )
-    seeds = stored(seeds.where(F.col("n_seeds") >= min_seeds), "pii-seeds")
-    found = None
-    for _ in range(rounds):
+    scored = unknown.select("pattern", "value", F.lit(None).cast("string").alias("guess"), F.lit(0.0).alias("score"))
+    for k in range(rounds):
         weights = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(F.col("guess") == k, F.col("score")).otherwise(0.0)).alias(f"more_{k}") for k in names))
-        joined = seeds.join(weights, "pattern")  # patterns without unknown instances discover nothing
+        joined = seeds.join(weights, "pattern")
         known = sum((F.col(f"more_{k}") for k in names), F.lit(0.0))
         whole = F.col("n_seeds") + known + UNKNOWN * (F.col("n") - known)
         best = F.array_max(F.array(*(F.struct(((F.col(f"seed_{k}") + F.col(f"more_{k}")) / whole).alias("trust"), F.lit(k).alias("kind")) for k in names)))
-        trusted = stored(joined.select("pattern", best.alias("b")).select("pattern", "b.kind", "b.trust").where(F.col("trust") >= min_trust), "pii-patterns")
-        met = scored.join(trusted, "pattern")
-        votes = met.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.99)))))).alias("score"))
+        trusted = joined.select("pattern", best.alias("b")).select("pattern", "b.kind", "b.trust").where(F.col("trust") >= min_trust)
+        # Patterns that share the word before the place say the same thing: the best of them counts.
+        words = F.split("pattern", " ", -1)
+        side = F.when(F.get(words, F.lit(0)) == "R", F.col("pattern")).otherwise(F.get(words, F.when(F.get(words, F.lit(0)) == "LL", 2).otherwise(1)))
+        votes = scored.join(trusted, "pattern").groupBy("value", "kind", side.alias("side")).agg(F.max("trust").alias("trust"))
+        votes = votes.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.99)))))).alias("score"))
         found = stored(votes.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score"), "pii-found")
-        if found.isEmpty():
+        if found.isEmpty() or k + 1 == rounds:
             break
         scored = scored.select("pattern", "value").join(found, "value", "left").select("pattern", "value", F.col("kind").alias("guess"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    return found.where(F.col("score") >= accept)
+    return found.where(F.col("score") >= accept).select("value", "kind")
+
+
+def identifiers(docs: DataFrame, text_col: str = "text", min_seeds: int = MIN_SEEDS, min_rate: float = MIN_RATE, min_trust: float = MIN_TRUST, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
+    """(value, kind) of what contexts make identifiers, over all texts of ``docs``.
+
+    Every extension adds values, so the loop ends.  Hot patterns and values are folded
+    by partial sums in every task; tables of patterns and values meet the places of the
+    corpus by joins whose sides Spark measures before it broadcasts one.
+    """
+    names = [k for k, *_ in KINDS]
+    value = F.col("value")
+    nothing = docs.sparkSession.createDataFrame([], "pattern string, value string, kind string, n long")
+    seen = _places(docs, text_col, digits=True).withColumn("kind", _kind(value)).where("kind IS NOT NULL").withColumn("value", _core(value))
+    edges = stored(_exploded(seen, "value", "kind").groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+    counts, unknown = nothing.select("pattern", F.col("n").alias("places")), nothing.select("pattern", "value")
+    asked, found = nothing.select("pattern"), nothing.select("value", "kind")
+    while True:
+        seeds = edges.groupBy("pattern").agg(
+            F.count(F.lit(1)).alias("n_seeds"), F.sum("n").alias("held"), *(F.sum(F.when(F.col("kind") == k, 1.0).otherwise(0.0)).alias(f"seed_{k}") for k in names)
+        )
+        seeds = stored(seeds.where(F.greatest(*(f"seed_{k}" for k in names)) >= min_seeds), "pii-seeds")
+        fresh = stored(seeds.select("pattern").join(counts, "pattern", "left_anti"), "pii-fresh")
+        if not fresh.isEmpty():
+            counts = counts.unionByName(stored(_exploded(_places(docs, text_col)).join(fresh, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("places")), "pii-counts"))
+        rated = stored(seeds.join(counts, "pattern").where(F.col("held") >= min_rate * F.col("places")).drop("held", "places"), "pii-rated")
+        fresh = stored(rated.select("pattern").join(asked, "pattern", "left_anti"), "pii-fresh")
+        if not fresh.isEmpty():
+            met = _exploded(_places(docs, text_col), "value").join(fresh, "pattern").where(_kind(value).isNull())
+            unknown = unknown.unionByName(stored(met.select("pattern", _core(value).alias("value")).where("value <> ''").distinct(), "pii-unknown"))
+            asked = asked.unionByName(fresh)
+        more = stored(_scores(rated, unknown.join(found, "value", "left_anti"), min_trust, rounds, accept), "pii-more")
+        if more.isEmpty():
+            return found
+        found = found.unionByName(more)
+        again = _places(docs, text_col).withColumn("value", _core(value)).join(more, "value")
+        edges = edges.unionByName(stored(_exploded(again, "value", "kind").groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges"))
+
+
+def _held(docs: DataFrame, text_col: str, values: DataFrame) -> DataFrame:
+    """(key of the text, the found values that are items of it with their kinds)."""
+    items = docs.select(_text(docs, text_col).alias("text")).select(F.sha2("text", 256).alias("key"), F.array_distinct(F.regexp_extract_all("text", F.lit(_ITEM), F.lit(0))).alias("items"))
+    met = items.select("key", F.explode("items").alias("item")).select("key", _core(F.col("item")).alias("value")).join(values, "value")
+    return stored(met.distinct().groupBy("key").agg(F.collect_list(F.struct("value", "kind")).alias("known")), "pii-held")
+
+
+def _kind_of(value: Column, known: str | Column) -> Column:
+    return F.get(F.filter(known, lambda v: v["value"] == value), F.lit(0))["kind"]
+
+
+def _found(docs: DataFrame, text_col: str, held: DataFrame) -> DataFrame:
+    """(key, spans of found values) of the texts that hold some."""
+    df = docs.select(_text(docs, text_col).alias("text")).withColumn("key", F.sha2("text", 256)).dropDuplicates(["key"]).join(held, "key")
+    matches, gaps = _cut("text", _ITEM, "[^ ]")
+    df = df.select("key", "known", matches.alias("m"), gaps.alias("g"))
+    df = df.withColumn("e", _sums(F.transform("m", _step(F.col("g")))))
+
+    def span(hit: Column) -> Column:
+        start = hit["start"] + F.length(F.regexp_extract(hit["value"], _OPEN, 0))
+        return F.struct(_kind_of(_core(hit["value"]), "known").alias("kind"), start.alias("start"), (start + F.length(_core(hit["value"]))).alias("end"))
+
+    return df.select("key", F.filter(F.transform(_hits(F.col("m"), F.col("e")), span), lambda h: h["kind"].isNotNull()).alias("more"))
 
 
 def _said(kind: Column | str, hit: Column) -> Column:
@@ -191,52 +288,60 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     names = [k for k, *_ in KINDS]
     located = stored(_located(docs, id_col, text_col), "pii-spans")
-    values = identifiers(stored(_edges(located), "pii-edges"), **tuning)
-    tokens = located.where(F.size("token") > 0).select("row", F.explode("token").alias("h"), F.concat(*names).alias("base"))
-    tokens = tokens.join(values.select(F.col("value"), F.col("kind")), F.col("h.value") == F.col("value"))
-    free = tokens.where(~F.exists("base", lambda b: (b["start"] < F.col("h.end")) & (F.col("h.start") < b["end"])))
-    order = F.array_position(F.array(*map(F.lit, names)), F.col("kind"))
-    more = free.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.concat(F.lit("found_"), F.col("kind")).alias("kind")))).alias("more"))
+    values = stored(identifiers(docs, text_col, **tuning), "pii-values")
     base = F.concat(*(F.transform(k, _saying(k)) for k in names))
-    out = located.select("row", "id", *(F.size(k).cast("long").alias(f"n_{k}") for k in names), base.alias("base")).join(more, "row", "left")
-    found = F.coalesce(F.transform("more", lambda h: _said(h["kind"], h)), F.array().cast("array<string>"))
+    found = F.array().cast("array<string>")
+    if not values.isEmpty():
+        located = located.join(_found(docs, text_col, _held(docs, text_col, values)), "key", "left")
+        free = F.filter(F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda h: ~F.exists(F.concat(*names), lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
+        order = F.array(*map(F.lit, names))
+        free = F.array_sort(F.transform(free, lambda h: F.struct(F.array_position(order, h["kind"]).alias("order"), h["start"].alias("start"), h["end"].alias("end"), F.concat(F.lit("found_"), h["kind"]).alias("kind"))))
+        found = F.transform(free, lambda h: _said(h["kind"], h))
+    out = located.select("id", *(F.size(k).cast("long").alias(f"n_{k}") for k in names), base.alias("base"), found.alias("found"))
     return out.select(
         F.col("id").alias(id_col),
         *(f"n_{k}" for k in names),
         F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
-        F.array_join(F.concat("base", found), ",").alias("spans"),
-        F.size(found).cast("long").alias("n_found"),
+        F.array_join(F.concat("base", "found"), ",").alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
     )
 
 
 def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars", **tuning) -> DataFrame:
-    """The rows of ``docs`` with personal data replaced by ``<KIND>``, all columns kept.
+    """The rows of ``docs`` with personal data replaced by ``<KIND>``, all columns kept, whatever their names.
 
-    Kinds are replaced in their order, each in what the last one left; then the values
-    that contexts found.  A null text stays null.  ``count_col``, where present, gets
-    the new length of texts that changed.
+    Kinds are replaced in their order, each in what the last one left; then the items
+    whose value contexts found, as whole items only.  A null text stays null; repeated
+    rows and an empty table stay what they are.  ``count_col``, where present, gets the
+    new length of texts that changed.
     """
     columns = docs.columns
-    mask, new = "__masked", f"__{text_col}"
-    df = docs.withColumn(new, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    new, key, known = (_unused(columns, n) for n in ("new", "key", "known"))
+    values = stored(identifiers(docs, text_col, **tuning), "pii-values")
+    masked = _text(docs, text_col)
     for kind, pattern, needs in KINDS:
-        matches, gaps = _cut(new, pattern, needs)
-        df = df.withColumns({"__m": matches, "__g": gaps})
-        tail = F.transform("__m", _masking(kind))
-        df = df.withColumn(new, F.when(F.size("__m") > 0, F.concat(F.get("__g", F.lit(0)), F.array_join(tail, ""))).otherwise(F.col(new))).drop("__m", "__g")
-    located = stored(_located(docs.select(F.lit(0).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text"), "pii-spans")
-    values = stored(identifiers(stored(_edges(located), "pii-edges"), **tuning).select("value", "kind"), "pii-values")
+        masked = _swapped(masked, pattern, needs, _masking(kind))
+    df = docs
     if not values.isEmpty():
-        # Texts that hold a found value: its tokens meet the values, and a row gets its own list.
-        key = "__row"
-        df = stored(df.withColumn(key, F.monotonically_increasing_id()), "pii-masked")
-        tokens = df.where(F.col(new).rlike("[0-9]")).select(key, F.explode(F.array_distinct(F.regexp_extract_all(new, F.lit(_TOKEN), F.lit(0)))).alias("value"))
-        lists = tokens.join(values, "value").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("value", "kind"))).alias(mask))
-        df = df.join(lists, key, "left")
-        swapped = F.aggregate(F.coalesce(mask, F.array().cast("array<struct<value:string,kind:string>>")), F.col(new), lambda t, v: F.replace(t, v["value"], F.concat(F.lit("<FOUND_"), F.upper(v["kind"]), F.lit(">"))))
-        df = df.withColumn(new, swapped)
-    changed = F.col(text_col).isNotNull() & (F.col(new) != F.col(text_col))
-    out = {text_col: F.when(changed, F.col(new)).otherwise(F.col(text_col))}
+        held = _held(docs, text_col, values).select(F.col("key").alias(key), F.col("known").alias(known))
+        df = docs.withColumn(key, F.sha2(_text(docs, text_col), 256)).join(held, key, "left")
+
+        def swap(item: Column) -> Column:
+            mask = lambda kind: F.concat(F.regexp_extract(item, _OPEN, 0), F.lit("<FOUND_"), F.upper(kind), F.lit(">"), F.regexp_extract(F.regexp_replace(item, _OPEN, ""), _CLOSE, 0))
+            return _let(_kind_of(_core(item), known), lambda kind: F.coalesce(mask(kind), item))
+
+        masked = F.when(F.col(known).isNotNull(), _swapped(masked, _ITEM, "[^ ]", swap)).otherwise(masked)
+    df = df.withColumn(new, masked)
+    text = docs[text_col]
+    out = {text_col: F.when(text.isNotNull(), F.col(new)).otherwise(text)}
     if count_col in columns:
-        out[count_col] = F.when(changed, F.length(new).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col))
-    return df.select(*(out[c].alias(c) if c in out else F.col(c) for c in columns))
+        out[count_col] = F.when(text.isNotNull() & (F.col(new) != text), F.length(new).cast(docs.schema[count_col].dataType)).otherwise(docs[count_col])
+    return df.select(*((out[c] if c in out else docs[c]).alias(c) for c in columns))
+
+
+def _unused(columns: list[str], name: str) -> str:
+    """A column name that the table doesn't have, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
