@@ -1,11 +1,10 @@
 """Connected components of an edge table by alternating large and small stars.
 
-A graph of at most ``SMALL_GRAPH`` links is one task's work instead, by union-find: that
-number is checked, bounds the task's memory, and gives the same rows.
-
-Nothing leaves the executors; each round is stored, so lineage stays short and a
-lost executor costs one round at most.  The number of rounds grows with the
-logarithm of the longest path.
+Before the first round each task folds its own edges by union-find, some at a time, so
+that paths within a task are stars already; memory is bounded by the number folded at
+once.  Nothing leaves the executors; each round is stored, so lineage stays short and a
+lost executor costs one round at most.  The number of rounds grows with the logarithm
+of the longest path.
 """
 
 from __future__ import annotations
@@ -18,29 +17,45 @@ from pyspark.sql import functions as F
 
 from .runtime import drop_stored, stored
 
-#: Links of a graph that one task may take: some 50 MB in a Python worker.
-SMALL_GRAPH = 200_000
+#: Edges that a task folds at once: some 50 MB in a Python worker.
+FOLD = 200_000
 
 
-def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over all links of one task: (node, root), the root being the least node."""
+def _forest(edges: list[tuple]) -> dict:
+    """Union-find: the least node of its tree for every node that has a smaller one."""
     above: dict = {}
-    schema = None
 
     def root(x):
         while (up := above.setdefault(x, x)) != x:
             above[x] = x = above.setdefault(up, up)
         return x
 
-    for batch in batches:
-        schema = batch.schema
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                above[max(a, b)] = min(a, b)
-    if schema is not None:
-        nodes = list(above)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, type=schema.types[0]), pa.array([root(x) for x in nodes], type=schema.types[0])], names=["node", "root"])
+    for a, b in edges:
+        a, b = root(a), root(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    return {x: r for x in list(above) if (r := root(x)) != x}
+
+
+def _fold(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        schema = None
+
+        def stars() -> pa.RecordBatch:
+            made = _forest(held)
+            return pa.RecordBatch.from_arrays([pa.array(list(x), type=schema.types[0]) for x in (made.keys(), made.values())], names=["a", "b"])
+
+        for batch in batches:
+            schema = batch.schema
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            if len(held) >= limit:
+                yield stars()
+                held = []
+        if held:
+            yield stars()
+
+    return run
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -58,22 +73,22 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, label: str = "components", small: int = SMALL_GRAPH) -> DataFrame:
+def components(edges: DataFrame, label: str = "components", fold: int = FOLD) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the least node of its component.
 
     Rows with a null end, loops and repeated edges do no harm; no edges give no rows.
     """
-    held = stored(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct(), label)
-    if held.count() <= small:
-        kind = held.schema["a"].dataType.simpleString()
-        return held.coalesce(1).mapInArrow(_join_all, f"node {kind}, root {kind}")
-    seen = None
-    while True:
+    clean = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct()
+    kind = clean.schema["a"].dataType.simpleString()
+    held = stored(clean.mapInArrow(_fold(fold), f"a {kind}, b {kind}").distinct(), label)
+    print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    seen = print_of(held)
+    while seen[0]:
         made = stored(_star(_star(held, small=False), small=True), label)
-        now = tuple(made.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        now = print_of(made)
         drop_stored(held)
         held = made
-        if now == seen or now[0] == 0:
+        if now == seen:
             break
         seen = now
     roots = held.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")

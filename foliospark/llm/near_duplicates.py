@@ -14,6 +14,7 @@ Every comparison is on the full sets.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .components import components
-from .runtime import free_shuffles, packs, stored, text_bytes, tune
+from .runtime import drop_stored, free_shuffles, packs, stored, text_bytes, tune, unused
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -37,14 +38,23 @@ BLOCK = 48
 BROADCAST_IDS = 300_000
 
 
-def _permuted(x: np.ndarray) -> np.ndarray:
-    """A fixed permutation of [0, 2**32)."""
-    x = x ^ (x >> np.uint32(16))
-    x *= np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
-    x ^= x >> np.uint32(16)
-    return x
+def _permutation(first: int, second: int):
+    """A fixed permutation of [0, 2**32): odd factors and shifts are each undone by another."""
+
+    def permuted(x: np.ndarray) -> np.ndarray:
+        x = x ^ (x >> np.uint32(16))
+        x *= np.uint32(first)
+        x ^= x >> np.uint32(13)
+        x *= np.uint32(second)
+        x ^= x >> np.uint32(16)
+        return x
+
+    return permuted
+
+
+#: The two permutations of the method: the first breaks up structure, the second is shifted for every coordinate.
+_scatter = _permutation(0x85EBCA6B, 0xC2B2AE35)
+_ranked = _permutation(0x2C1B3C6D, 0x297A2D39)
 
 
 def shingle_sets(blobs: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +90,12 @@ def signatures(h: np.ndarray, cuts: np.ndarray, bands: int = BANDS, rows: int =
     keys = np.zeros((len(some), bands), dtype=np.uint64)
     if not len(some):
         return keys
-    placed = _permuted((h >> np.uint64(32)).astype(np.uint32))
+    placed = _scatter((h >> np.uint64(32)).astype(np.uint32))
     at = cuts[some]
     for band in range(bands):
         key = np.full(len(some), band + 1, dtype=np.uint64)
         for row in range(rows):
-            least = np.minimum.reduceat(_permuted(placed + np.uint32(band * rows + row + 1)), at)
+            least = np.minimum.reduceat(_ranked(placed + np.uint32(band * rows + row + 1)), at)
             key = hashing.mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
         keys[:, band] = key
     return keys
@@ -105,7 +115,8 @@ def _sign_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs = batch.column(1).to_pylist()
         for a, b in packs(blobs):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *_sign(blobs[a:b])], names=["id", "n", "same", "bands"])
+            keys = pa.array([hashlib.sha256(x).digest() for x in blobs[a:b]], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, *_sign(blobs[a:b])], names=["id", "text_key", "n", "same", "bands"])
 
 
 def _sets_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +220,47 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     its own component.  Rows that repeat an id are documents of their own.  Other
     columns are not read; an empty table gives no rows.
     """
+    out = _classed(docs, id_col, text_col, percent)
+    component = F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+    )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one row of each class of near duplicates, all columns kept, whatever their names.
+
+    The row with the smallest id stays; a null id is larger than any other.  Rows are
+    told apart by id and text: of rows that repeat both, one stays; two texts under one
+    id are judged each for itself.  Texts without words all stay.
+    """
+    columns = docs.columns
+    classed = stored(_classed(docs, id_col, text_col, percent).where("n > 0").select("id", "text_key", F.coalesce("root", "same").alias("of")), "classed")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key"))
+    best = classed.groupBy("of").agg(first.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("of", "best.id", "best.text_key")
+    several = stored(classed.join(best.select("of", F.col("id").alias("best_id"), F.col("text_key").alias("best_key")), "of"), "several")
+    beaten = ~(F.col("id").eqNullSafe(F.col("best_id")) & (F.col("text_key") == F.col("best_key")))
+    losers = several.where(beaten).select("id", "text_key").distinct()
+    repeats = stored(several.where(~beaten).groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats")
+    own = unused(columns, "text_key")
+    keyed = docs.withColumn(own, F.unhex(F.sha2(text_bytes(docs[text_col]), 256)))
+    met = lambda other: keyed[id_col].cast("long").eqNullSafe(other["id"]) & (keyed[own] == other["text_key"])
+    kept = keyed.join(losers, met(losers), "left_anti")
+    if not repeats.isEmpty():
+        again = keyed.join(repeats, met(repeats), "left_semi").dropDuplicates([id_col, own])
+        kept = kept.join(repeats, kept[id_col].cast("long").eqNullSafe(repeats["id"]) & (kept[own] == repeats["text_key"]), "left_anti").unionByName(again)
+    return kept.drop(own)
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Per input row: id, text_key, n, same (print of its set), root of its component and the component's least id (null: alone)."""
     spark = docs.sparkSession
     tune(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    signed = stored(rows.mapInArrow(_sign_all, "id long, n long, same binary, bands array<long>"), "signed")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_bytes(docs[text_col]).alias("text"))
+    signed = stored(rows.mapInArrow(_sign_all, "id long, text_key binary, n long, same binary, bands array<long>"), "signed")
 
     # One row per shingle set; equal sets are folded within each task before they are shuffled.
     classes = stored(
@@ -231,7 +279,8 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stars = stars.where((F.col("same") != F.col("pivot")) & fits).select(F.least("same", "pivot").alias("a"), F.greatest("same", "pivot").alias("b")).distinct()
     left = sets.select(F.col("same").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("same").alias("b"), F.col("hashes").alias("y"))
-    links = stored(_edges(stars.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _verify(percent)), "links")
+    # Sets are large: they meet their pairs by a merge at every size of the corpus.
+    links = stored(_edges(stars.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y"), _verify(percent)), "links")
     roots = stored(components(links), "roots")
     free_shuffles(spark)
 
@@ -244,22 +293,20 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), small.alias("small")).where("parts > 1")
     open_ = rooted.where("NOT pivot").join(several.select("key", "small"), "key").join(parts, ["key", "root"])
     more = _cross_links(open_, sets, percent)
-    every = components(links.unionByName(more), "joined")
-    final = stored(every, "final")
+    # The graph of components is small: its own components give every node its final root.
+    name = lambda of: roots.select(F.col("node").alias(of), F.col("root").alias(f"{of}_root"))
+    met = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    above = stored(components(met, "joined"), "above")
+    rest = above.join(roots.select("node"), "node", "left_anti")
+    final = stored(roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(rest), "final")
 
     named = classes.select("same", "rep", "copies").join(final.withColumnRenamed("node", "same"), "same", "left").select("same", "rep", "copies", "root")
     smallest = named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component"))
     owners = named.join(smallest, "root", "left").select("same", F.coalesce("component", "rep").alias("component"), "copies", "root")
     # Rows that are alone need no lookup; hot classes are joined by rows that Spark can split.
-    shared = stored(owners.where("copies > 1 OR root IS NOT NULL").select("same", "component"), "owners")
-    out = signed.select("id", "n", "same").join(shared, "same", "left")
-    component = F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
-    )
+    shared = stored(owners.where("copies > 1 OR root IS NOT NULL").select("same", "component", "root"), "owners")
+    drop_stored(classes, members, sets, links, roots, rooted, above, final)
+    return signed.select("id", "text_key", "n", "same").join(shared, "same", "left")
 
 
 def _candidate_sets(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import stored, unused
 
 # The kinds in their order, each with its pattern (no back-tracking variants
 # of the plain ones) and what a text must hold to have a match.
@@ -316,7 +316,7 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_c
     new length of texts that changed.
     """
     columns = docs.columns
-    new, key, known = (_unused(columns, n) for n in ("new", "key", "known"))
+    new, key, known = (unused(columns, n) for n in ("new", "key", "known"))
     values = stored(identifiers(docs, text_col, **tuning), "pii-values")
     masked = _text(docs, text_col)
     for kind, pattern, needs in KINDS:
@@ -337,11 +337,3 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_c
     if count_col in columns:
         out[count_col] = F.when(text.isNotNull() & (F.col(new) != text), F.length(new).cast(docs.schema[count_col].dataType)).otherwise(docs[count_col])
     return df.select(*((out[c] if c in out else docs[c]).alias(c) for c in columns))
-
-
-def _unused(columns: list[str], name: str) -> str:
-    """A column name that the table doesn't have, whatever the case."""
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name += "_"
-    return name

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -62,10 +63,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here."""
+def unused(columns: Iterable[str], name: str) -> str:
+    """A column name that a table doesn't have, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Folders of stored frames, one list for each open scope.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, whatever was stored since: for work whose result is written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here. With ``keep`` it outlives a scope."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -73,11 +104,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def drop_stored(*frames: DataFrame) -> None:
     """Delete the files of stored frames whose last use is over."""
     for df in frames:
-        hadoop = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        jvm = df.sparkSession._jvm
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(hadoop).delete(path, True)
+            _delete(df.sparkSession, parent)
 
 
 def free_shuffles(spark: SparkSession) -> None:

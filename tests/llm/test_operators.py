@@ -196,11 +196,11 @@ def test_near_duplicates(spark):
     assert by_row(near_duplicates.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
-def test_components(spark, small):
+@pytest.mark.parametrize("fold", [200_000, 1])
+def test_components(spark, fold):
     tune(spark)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), fold=fold).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
