@@ -7,10 +7,9 @@ stage's result to the shared folder as Parquet and hands it to the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, near_duplicates, personal_data, pieces, quality
-from foliospark.llm.runtime import free_shuffles, stored, table
+from foliospark.llm.runtime import drop_stored, free_shuffles, scratch, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,18 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id; all of those without an id that link to none.
-
-    Rows that repeat an id and are duplicates leave one row.  Columns pass through.
-    """
-    classes = near_duplicates.duplicate_classes(docs.select("doc_id", "text")).where("kept")
-    winners = stored(classes.select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__component")).distinct(), "winners")
-    kept = docs.join(winners.select("__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    ids = winners.select("__id").where("__id IS NOT NULL")
-    if kept.where("doc_id IS NOT NULL").count() == ids.count():
-        return kept
-    known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.unionByName(kept.where("doc_id IS NULL"))
+    """Of each group of near duplicates, one row: that with the smallest id. Texts without words stay; columns pass through."""
+    return near_duplicates.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +50,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
+    """All stages over the whole ``documents`` table.
+
+    What a stage stored on its way, and its input, go once its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            docs = stored(made, name.replace(" ", "-"), keep=True)
+        if before is not None:
+            drop_stored(before)
+        before = docs
         free_shuffles(spark)
     return docs
