@@ -33,7 +33,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,27 +236,60 @@ def test_personal_data(spark, docs, texts):
     assert clean.where("text IS NULL").count() == every.where("text IS NULL").count()
 
 
-def test_pieces(docs, texts):
+def _all_ways(model, word):
+    """Every segmentation of a word into pieces, by trying all cuts; a character that is no piece is spelt in bytes."""
+    if not word:
+        return [(0.0, ())]
+    out = []
+    for k in range(1, len(word) + 1):
+        head = word[:k]
+        if head in model.ids:
+            edge = model.scores[head], (model.ids[head],)
+        elif k == 1:
+            data = head.encode()
+            edge = pieces.BYTE_COST * len(data), tuple(model.bytes[b] for b in data)
+        else:
+            continue
+        out += [(edge[0] + s, edge[1] + ids) for s, ids in _all_ways(model, word[k:])]
+    return sorted(out, reverse=True)
+
+
+def test_pieces(spark, docs, texts):
     encoder = pieces.encoder_for(pieces.default_model())
     model = encoder._model()
-    for word in ("▁hello", "▁erention", "abcabc", "日本"):
-        into = model.lattice(word)[0]
-
-        def ways(place, into=into):
-            return [(0.0, [])] if place == 0 else [(s + t, [*ids, *own]) for a, t, own in into[place] for s, ids in ways(a)]
-
-        want = sorted((s for s, _ in ways(len(word))), reverse=True)[:6]
+    for word in ("▁hello", "▁erention", "abcabc", "日本", "▁tion", "x😀y", "▁▁the"):
+        want = _all_ways(model, word)[:6]
         got = model.nbest_word(word, 6)
-        assert np.allclose([s for s, _ in got], want)
-        fast = model.best_words([word])[0]
-        assert abs(fast[1] - want[0]) < 1e-9 and (len(want) < 2 or abs(fast[2] - want[0] + want[1]) < 1e-9)
-    assert [s for s, _ in encoder.nbest("the theory of it", 3)] == sorted((s for s, _ in encoder.nbest("the theory of it", 3)), reverse=True)
+        assert np.allclose([s for s, _ in got], [s for s, _ in want]) and len(got) == len(want)
+        assert all(any(abs(s - t) < 1e-9 and tuple(ids) == own for t, own in _all_ways(model, word)) for s, ids in got)
     made = pieces.encode(docs)
     assert made.where("round_trip").count() == made.count() == docs.count()
     back = {r.doc_id: r.text for r in pieces.decode(made.where("doc_id IS NOT NULL")).collect()}
     assert back == {k: t or "" for k, t in enumerate(texts)}
 
 
+def test_pieces_of_whole_texts(spark):
+    """Every column of the query against all segmentations of short texts."""
+    model = pieces.encoder_for(pieces.default_model())._model()
+    rows = [(1, "of it"), (2, "a\nb"), (3, "é x"), (4, "a▁b"), (5, ""), (6, None), (7, " a  b "), (8, "x" * 60 + "\u65e5" * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {r.doc_id: r for r in pieces.encode(docs).collect()}
+    many = collections.defaultdict(list)
+    for r in pieces.segmentations(docs, 4).collect():
+        many[r.doc_id].append((r["rank"], r.score, r.ids))
+    for i, t in rows:
+        r = made[i]
+        assert r.round_trip and r.n_pieces == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest()
+        assert [x[0] for x in sorted(many[i])] == list(range(1, len(many[i]) + 1))
+        if i in (4, 8):
+            continue
+        want = _all_ways(model, "▁" + t.replace(" ", "▁")) if t else [(0.0, ())]
+        assert abs(r.score - want[0][0]) < 1e-9 and (0.0 if not t else r.second_score) == pytest.approx(want[1][0] if t else 0.0)
+        assert any(s == pytest.approx(r.score) and tuple(r.ids) == ids for s, ids in want)
+        assert np.allclose([s for _, s, _ in sorted(many[i])], [s for s, _ in want[:4]])
+    assert pieces.decode(pieces.encode(docs)).where("doc_id = 4").first().text == "a▁b"
+
+
 def test_licences(docs, texts):
     for r in licences.licences(docs).where("doc_id IS NOT NULL").collect():
         w = folded(texts[r.doc_id])
