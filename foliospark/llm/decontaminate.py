@@ -7,30 +7,34 @@ and the items that hold it.  Words that no item has lead back to the root, so on
 runs of item words long enough for a window are walked word by word.
 
 Item sets larger than ``SHARD_WORDS`` become several automata of at most that many
-words, broadcast one after another, so what is broadcast never grows with the data.
+words (a longer item is one alone).  A row carries what it has been found to hold from
+automaton to automaton, so that every one of them reads the unchanged text and nothing
+is judged before the last; after ``LIVE`` automata the rows are stored and these
+automata dropped, so what is live at once never grows with the items.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .automaton import SuffixAutomaton
 from .hashing import FOLD_WORDS, word_bounds
-from .runtime import by_pack, packs, text_bytes, tune
+from .runtime import packs, stored, text_bytes, tune, unused
 from .vocabulary import Vocabulary, folded_words, runs
 
 WINDOW = 10
 #: Words of items in one automaton: some 100 MB in a Python worker.
 SHARD_WORDS = 200_000
+#: Automata that are broadcast at the same time.
+LIVE = 4
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -111,24 +115,66 @@ def _spans(index: Index, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, i
     return np.cumsum(step[:-1]) > 0, found
 
 
-def _work(index_of: Callable[[], Index | None], blobs: list[bytes]) -> dict[str, list]:
-    index = index_of()
+#: What a text has been found to hold: hit spans as (start, end, start, ..) in words, and items.
+_FOUND = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+Hits = dict[int, tuple[list[tuple[int, int]], list[str]]]
+
+
+def _united(index: Index | None, blobs: list[bytes], before: list[dict | None]) -> tuple[np.ndarray, Hits]:
+    """Number of words of each text, and for those with hits their spans and items, earlier ones among them."""
     ids, edges = (index.vocabulary if index else Vocabulary([])).pack(blobs)
-    n_words = np.diff(edges) - 1
-    n_hit = np.zeros(len(blobs), dtype=np.int64)
-    items: list[list[str]] = [[]] * len(blobs)
-    hits: list[list[int]] = [[]] * len(blobs)
-    if index:
-        hit, found = _spans(index, ids)
-        held: dict[int, set[int]] = {}
-        for start, _, names in found:
-            held.setdefault(int(np.searchsorted(edges, start, "right")) - 1, set()).update(names)
-        for d, names in held.items():
-            own = np.flatnonzero(hit[edges[d] : edges[d + 1]])
-            n_hit[d] = len(own)
-            hits[d] = own.tolist()
-            items[d] = sorted({index.names[k] for k in names})
-    return {"n_words": n_words, "n_hit": n_hit, "items": items, "hits": hits}
+    hit, found = _spans(index, ids) if index else (np.zeros(len(ids), dtype=bool), [])
+    names: dict[int, set[str]] = {}
+    for start, _, own in found:
+        names.setdefault(int(np.searchsorted(edges, start, "right")) - 1, set()).update(index.names[k] for k in own)
+    for d, held in enumerate(before):
+        if held and held["items"]:
+            names.setdefault(d, set()).update(held["items"])
+            for a, b in zip(held["spans"][::2], held["spans"][1::2], strict=True):
+                hit[edges[d] + a : edges[d] + b] = True
+    return np.diff(edges) - 1, {d: (runs(hit[edges[d] : edges[d + 1] - 1], 1), sorted(own)) for d, own in names.items()}
+
+
+def _through(docs: DataFrame, text_col: str, indexes: Iterator[Index], finish: Callable, schema: StructType | str) -> DataFrame:
+    """Send rows through all automata; ``finish`` makes the result from a batch, its texts, their numbers of words, and hits."""
+    spark = docs.sparkSession
+    names = docs.columns
+    at = names.index(text_col)
+    held = unused(names, "found")
+    between = StructType([*docs.schema.fields, StructField(held, StructType([StructField("spans", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))]))])
+    live: list = []
+    ahead = next(indexes, None)
+    first = True
+    while True:
+        shared = spark.sparkContext.broadcast(ahead)
+        ahead = next(indexes, None)
+        last = ahead is None
+
+        def run(batches, shared=shared, first=first, last=last):
+            for batch in batches:
+                blobs = [b or b"" for b in batch.column(at).cast(pa.binary()).to_pylist()]
+                before = [None] * len(blobs) if first else batch.column(len(names)).to_pylist()
+                n_words, hits = np.zeros(len(blobs), dtype=np.int64), {}
+                for a, b in packs(blobs):
+                    n_words[a:b], own = _united(shared.value, blobs[a:b], before[a:b])
+                    hits.update((a + d, hit) for d, hit in own.items())
+                batch = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+                if last:
+                    yield finish(batch, blobs, n_words, hits)
+                else:
+                    found = [{"spans": [x for span in hits[d][0] for x in span], "items": hits[d][1]} if d in hits else None for d in range(len(blobs))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=_FOUND)], names=[*names, held])
+
+        docs = docs.mapInArrow(run, schema if last else between)
+        live.append(shared)
+        first = False
+        if last:
+            return docs
+        if len(live) == LIVE:
+            docs = stored(docs, "decontamination")
+            for done in live:
+                done.destroy()
+            live = []
 
 
 def contamination(
@@ -141,44 +187,28 @@ def contamination(
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """Hit words and occurring items, one row per row of ``docs``; no shuffle for one shard of items.
+    """Hit words and occurring items, one row per row of ``docs``; a narrow pass for up to ``LIVE`` automata.
 
     Null texts have no words; null ids stay null; repeated rows give repeated rows;
     repeated items count once per item id; no items, or empty tables, give no hits.
+    Other columns are not read.  A very long text is a pack of its own: some 30 bytes a word.
     Columns: id, n_words, n_hit, n_items, items_sha256, contaminated.
     """
     spark = docs.sparkSession
     tune(spark)
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.int32()))])
-    ddl = "id long, n_words long, n_hit long, items array<string>, hits array<int>"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-
-    def scan(index: Index | None) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
-        return rows.mapInArrow(by_pack(lambda blobs: _work(lambda: shared.value, blobs), schema), ddl)
-
-    parts = [scan(index) for index in shards(items, item_id, item_text, window, shard_words)] or [scan(None)]
-    if len(parts) == 1:
-        merged = parts[0].select("id", "n_words", "n_hit", "items")
-    else:
-        # Several scans of the same rows: those of a row meet by its id and its place among equal ids.
-        merged = reduce(DataFrame.unionByName, [p.withColumn("shard", F.lit(k)) for k, p in enumerate(parts)])
-        order = Window.partitionBy("id", "shard").orderBy("n_words")
-        merged = (
-            merged.withColumn("copy", F.row_number().over(order))
-            .groupBy("id", "copy")
-            .agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-            .select("id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
-        )
-    joined = F.concat_ws(",", F.col("items"))
-    return merged.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.when(F.size("items") == 0, F.lit(_EMPTY_SHA)).otherwise(F.sha2(joined, 256)).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_bytes(docs[text_col]).alias("text"))
+
+    def finish(batch: pa.RecordBatch, blobs: list[bytes], n_words: np.ndarray, hits: Hits) -> pa.RecordBatch:
+        n = len(blobs)
+        n_hit, n_items, digests = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), [_EMPTY_SHA] * n
+        for d, (spans, items) in hits.items():
+            n_hit[d], n_items[d] = sum(b - a for a, b in spans), len(items)
+            digests[d] = hashlib.sha256(",".join(items).encode()).hexdigest()
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, type=t) for x, t in zip((n_words, n_hit, n_items, digests, n_hit > 0), schema.types[1:], strict=True))], schema=schema)
+
+    made = _through(rows, "text", shards(items, item_id, item_text, window, shard_words), finish, "id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return made.withColumnRenamed("id", id_col)
 
 
 def decontaminate(
@@ -197,59 +227,32 @@ def decontaminate(
 
     A text with more than ``max_cover`` of its words hit, or a hit span of more than
     ``max_span`` words, is dropped whole.  ``count_col``, where present, gets the new
-    length.  Texts without hits are unchanged, nulls included.  Every shard of items
-    reads the unchanged texts; their spans are united before anything is cut.
+    length.  Texts without hits are unchanged, nulls included; repeated rows fare alike;
+    no items change nothing; column names are free.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    names, schema = docs.columns, docs.schema
+    tune(docs.sparkSession)
+    names = docs.columns
     at = names.index(text_col)
     count_at = names.index(count_col) if count_col in names else None
-    indexes = [spark.sparkContext.broadcast(index) for index in shards(items, item_id, item_text, window, shard_words)]
-    for k, shared in enumerate(indexes):
-        first, last = k == 0, k + 1 == len(indexes)
 
-        def run(batches, shared=shared, first=first, last=last):
-            for batch in batches:
-                blobs = [b or b"" for b in batch.column(at).cast(pa.binary()).to_pylist()]
-                held = [[]] * len(blobs) if first else batch.column(len(names)).to_pylist()
-                hits: dict[int, tuple[int, list[tuple[int, int]]]] = {}
-                for a, b in packs(blobs):
-                    hits.update((a + d, hit) for d, hit in _united(shared.value, blobs[a:b], held[a:b]))
-                batch = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
-                if not last:
-                    spans = [[place for span in hits[d][1] for place in span] if d in hits else [] for d in range(len(blobs))]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, type=pa.list_(pa.int32()))], names=[*names, "__spans"])
-                    continue
-                new = {d: _cut(blobs[d], *hit, max_cover, max_span) for d, hit in hits.items()}
-                keep = np.ones(len(blobs), dtype=bool)
-                if new:
-                    texts = batch.column(at).to_pylist()
-                    for d, text in new.items():
-                        keep[d] = text is not None
-                        texts[d] = text or ""
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
-                    if count_at is not None:
-                        counts = batch.column(count_at).to_pylist()
-                        for d, text in new.items():
-                            counts[d] = len(text or "")
-                        batch = batch.set_column(count_at, batch.schema.field(count_at), pa.array(counts, type=batch.schema.field(count_at).type))
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, schema if last else StructType([*schema.fields, StructField("__spans", ArrayType(IntegerType()))]))
-    return docs
-
-
-def _united(index: Index, blobs: list[bytes], held: list[list[int]]):
-    """(place, (words, hit spans)) of each text with hits, those of ``held`` (start, end, start, ..) among them."""
-    ids, edges = index.vocabulary.pack(blobs)
-    hit, _ = _spans(index, ids)
-    for d, before in enumerate(held):
-        own = hit[edges[d] : edges[d + 1] - 1]
-        for a, b in zip(before[::2], before[1::2], strict=True):
-            own[a:b] = True
-        if own.any():
-            yield d, (len(own), runs(own, 1))
+    def finish(batch: pa.RecordBatch, blobs: list[bytes], n_words: np.ndarray, hits: Hits) -> pa.RecordBatch:
+        if not hits:
+            return batch
+        new = {d: _cut(blobs[d], int(n_words[d]), spans, max_cover, max_span) for d, (spans, _) in hits.items()}
+        keep = np.ones(len(blobs), dtype=bool)
+        texts = batch.column(at).to_pylist()
+        for d, text in new.items():
+            keep[d] = text is not None
+            texts[d] = text or ""
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
+        if count_at is not None:
+            counts = batch.column(count_at).to_pylist()
+            for d, text in new.items():
+                counts[d] = len(text or "")
+            batch = batch.set_column(count_at, batch.schema.field(count_at), pa.array(counts, type=batch.schema.field(count_at).type))
+        return batch.filter(pa.array(keep))
+
+    return _through(docs, text_col, shards(items, item_id, item_text, window, shard_words), finish, docs.schema)
 
 
 def _cut(blob: bytes, n_words: int, spans: list[tuple[int, int]], max_cover: float, max_span: int) -> str | None:
