@@ -41,7 +41,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licences(table(spark, sf_dir, "documents"))
+    return licences.licences(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,6 +301,46 @@ def test_licences(docs, texts):
     index = licences.LicenceIndex.build()
     made = licences._work(index, [t.encode() for _, t in licences.TEMPLATES])
     assert all(label in own.split(",") for (label, _), own in zip(licences.TEMPLATES, made["labels"], strict=True))
+    assert made["score"] == [1.0] * len(licences.TEMPLATES)
+
+
+def test_licence_chains(spark):
+    """Labels, spans and scores of changed licence texts, worked out from their words alone."""
+    random.seed(2)
+    rows = []
+    for k, (_, t) in enumerate(licences.TEMPLATES):
+        w = t.split()
+        keep = w[: len(w) // 2] + ["changed"] + w[len(w) // 2 + 1 :]  # one word replaced
+        rows += [(3 * k, " ".join(["before"] * 5 + keep + ["after"] * 3)), (3 * k + 1, " ".join(w[: max(1, len(w) // 3)])), (3 * k + 2, " ".join(random.sample(w, len(w))))]
+    made = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def covered(words, template):
+        """Best chain by trying every way to align word by word: longest runs of 3 or more in order, gaps of 4 at most."""
+        n, m = len(words), len(template)
+        runs = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                runs[i + 1][j + 1] = runs[i][j] + 1 if words[i] == template[j] else 0
+        best = 0
+        score = {}
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                for size in range(3, runs[i][j] + 1):
+                    before = max((v for (x, y), v in score.items() if y <= j - size and i - size - 4 <= x <= i - size), default=0)
+                    score[i, j] = max(score.get((i, j), 0), before + size)
+                    best = max(best, score[i, j])
+        return best / m
+
+    for k, (label, t) in enumerate(licences.TEMPLATES):
+        if len(folded(t)) > 45:
+            continue
+        for d in (3 * k, 3 * k + 1):
+            words = folded(rows[d][1])
+            base = any(words[j : j + len(p.split())] == p.split() for p in licences.PHRASES for j in range(len(words)))
+            want = max(covered(words, folded(x)) for _, x in licences.TEMPLATES if len(folded(x)) <= 45)
+            assert made[d].score >= (1.0 if base else want - 1e-9), (label, made[d].score, want)
+        assert label in made[3 * k].labels.split(",") and any(s.startswith(f"{label}:5:") for s in made[3 * k].spans)
+        assert all(s.split(":")[0] in made[3 * k].labels for s in made[3 * k].spans)
 
 
 def test_warc(spark):
