@@ -17,6 +17,8 @@ A text of n megabytes takes some 20 n megabytes of a task's memory while it is c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ KINDS: list[tuple[str, str, str]] = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 ]
 _SPACE = r"\x20\x09-\x0D"
-#: Items of a text: a run of short number groups joined by single spaces, or what stands between spaces.
-_GROUP = rf"[0-9()-]{{1,9}}+(?![^{_SPACE},;:!?\"'])"
-_ITEM = rf"(?<![^{_SPACE}])\+?{_GROUP}(?:\x20{_GROUP})++[,;:!?\"']*+(?![^{_SPACE}])|[^{_SPACE}]++"
+#: A space within a run of short number groups; while texts are cut, ``_JOINT`` stands for it.
+_RUN = rf"\x20(?=[0-9()-]{{1,9}}+(?![^{_SPACE},;:!?\"']))(?<=(?<![^{_SPACE}])\+?[0-9()-]{{1,9}}\x20)"
+_JOINT = "\x00"
+#: Items of a text: what stands between spaces, runs of number groups being whole.
+_ITEM = rf"[^{_SPACE}]++"
 #: Punctuation around an item that is not part of its value.
 _MARKS = r"\"')\]>},.;:!?*|&$%#"
 _OPEN, _CLOSE = r"^[\"'(\[<{*|#]*+", rf"(?<![{_MARKS}])[{_MARKS}]++$"
@@ -159,30 +163,53 @@ def _kind(value: Column) -> Column:
     return F.coalesce(*(F.when(some[k], F.lit(k)) for k, *_ in KINDS))
 
 
-def _shape(word: Column) -> Column:
-    """A neighbour as patterns hold it; null where it looks like an identifier itself."""
-    shape = F.translate(F.lower(word), "123456789", "000000000")
-    return F.when(~shape.rlike(r"@|00[0().-]*0"), shape)
-
+def _joined(text: Column) -> Column:
+    """A text, as long as before, whose runs of number groups hold no space."""
+    return F.when(text.rlike("[0-9)] [0-9(-]"), F.regexp_replace(text, _RUN, _JOINT)).otherwise(text)
 
-def _patterns(items: Column, i: Column) -> Column:
-    """The patterns that place ``i`` of a text stands in."""
-    before, last, after = (_shape(F.get(items, i + k)) for k in (-2, -1, 1))
-    join = lambda name, *words: F.concat(F.lit(name), *(F.concat(F.lit(" "), w) for w in words))  # noqa: E731  null where a word is
-    return F.filter(F.array(join("LL", before, last), join("LR", last, after), join("L", last), join("R", after)), lambda p: p.isNotNull())
 
+def _places(docs: DataFrame, text_col: str, value: bool = True, digits: bool = False) -> DataFrame:
+    """(value, own, before, last, after) of every place of the corpus; with ``digits``, of those that hold a digit or an at sign.
 
-def _places(docs: DataFrame, text_col: str, digits: bool = False) -> DataFrame:
-    """(value, patterns) of every place of the corpus; with ``digits``, of those that hold a digit or an at sign."""
-    items = docs.select(F.regexp_extract_all(_text(docs, text_col), F.lit(_ITEM), F.lit(0)).alias("items")).where(F.size("items") > 0)
-    where = F.sequence(F.lit(0), F.size("items") - 1)
+    All but the value are lower case, their digits 0; neighbours are null where there is none.
+    """
+    text = _text(docs, text_col)
+    df = docs.where(text.rlike("@|[0-9]{2}|[0-9][.][0-9]")) if digits else docs
+    cut = lambda t: F.split(F.regexp_replace(t, rf"^[{_SPACE}]+|[{_SPACE}]+$", ""), rf"[{_SPACE}]+", -1)
+    joined = _joined(text)
+    shapes = cut(F.translate(F.lower(joined), "123456789", "000000000"))
+    held = df.select(*([cut(joined).alias("items")] if value else []), shapes.alias("own"))
+    none = F.array(F.lit(None).cast("string"))
+    columns = [F.col("items").alias("value")] if value else []
+    columns += [F.col("own"), F.concat(none, none, "own").alias("before"), F.concat(none, "own").alias("last"), F.slice("own", 2, F.size("own")).alias("after")]
+    places = held.select(*columns).select(F.inline(F.arrays_zip(*(["value"] if value else []), "own", "before", "last", "after"))).where("own <> ''")
     if digits:
-        where = F.filter(where, lambda i: F.get(F.col("items"), i).rlike("[0-9@]"))
-    return items.select(F.inline(F.transform(where, lambda i: F.struct(F.get(F.col("items"), i).alias("value"), _patterns(F.col("items"), i).alias("patterns")))))
+        places = places.where(F.col("own").contains("0") | F.col("own").contains("@"))
+    return places.withColumn("value", F.translate("value", _JOINT, " ")) if value else places
+
+
+def _exploded(places: DataFrame, *columns: str, plain: bool = False) -> DataFrame:
+    """A row for every pattern that a place stands in; with ``plain``, of words that don't look like identifiers themselves."""
+    word = lambda w: F.when(~(F.col(w).contains("@") | F.col(w).contains("00")), F.col(w)) if plain else F.col(w)
+    join = lambda name, *words: F.concat(F.lit(name), *(F.concat(F.lit(" "), word(w)) for w in words))  # noqa: E731  null where a word is
+    patterns = F.array(*(join(*side) for side in _SIDES))
+    return places.select(F.explode(patterns).alias("pattern"), *columns).where("pattern IS NOT NULL")
 
 
-def _exploded(places: DataFrame, *columns: str) -> DataFrame:
-    return places.select(F.explode("patterns").alias("pattern"), *columns)
+_SIDES = (("LL", "before", "last"), ("LR", "last", "after"), ("L", "last"), ("R", "after"))
+
+
+def _counted(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, places) in the corpus, of each pattern that stands somewhere.
+
+    Places meet patterns by a 64-bit hash of the words, so that no string is built for a place.
+    """
+    words = F.split("pattern", " ", -1)
+    hashed = patterns.select("pattern", F.xxhash64(F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.get(words, F.lit(2))).alias("hash"))
+    known = lambda names: reduce(Column.__and__, (F.col(n).isNotNull() for n in names))
+    hashes = F.array(*(F.when(known(side[1:]), F.xxhash64(F.lit(side[0]), *side[1:])) for side in _SIDES))
+    placed = _places(docs, text_col, value=False).select(F.explode(hashes).alias("hash"))
+    return placed.join(hashed, "hash").groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
 
 
 def _scores(seeds: DataFrame, unknown: DataFrame, min_trust: float, rounds: int, accept: float) -> DataFrame:
@@ -219,7 +246,7 @@ def identifiers(docs: DataFrame, text_col: str = "text", min_seeds: int = MIN_SE
     value = F.col("value")
     nothing = docs.sparkSession.createDataFrame([], "pattern string, value string, kind string, n long")
     seen = _places(docs, text_col, digits=True).withColumn("kind", _kind(value)).where("kind IS NOT NULL").withColumn("value", _core(value))
-    edges = stored(_exploded(seen, "value", "kind").groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+    edges = stored(_exploded(seen, "value", "kind", plain=True).groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     counts, unknown = nothing.select("pattern", F.col("n").alias("places")), nothing.select("pattern", "value")
     asked, found = nothing.select("pattern"), nothing.select("value", "kind")
     while True:
@@ -229,7 +256,7 @@ def identifiers(docs: DataFrame, text_col: str = "text", min_seeds: int = MIN_SE
         seeds = stored(seeds.where(F.greatest(*(f"seed_{k}" for k in names)) >= min_seeds), "pii-seeds")
         fresh = stored(seeds.select("pattern").join(counts, "pattern", "left_anti"), "pii-fresh")
         if not fresh.isEmpty():
-            counts = counts.unionByName(stored(_exploded(_places(docs, text_col)).join(fresh, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("places")), "pii-counts"))
+            counts = counts.unionByName(stored(_counted(docs, text_col, fresh), "pii-counts"))
         rated = stored(seeds.join(counts, "pattern").where(F.col("held") >= min_rate * F.col("places")).drop("held", "places"), "pii-rated")
         fresh = stored(rated.select("pattern").join(asked, "pattern", "left_anti"), "pii-fresh")
         if not fresh.isEmpty():
@@ -241,13 +268,13 @@ def identifiers(docs: DataFrame, text_col: str = "text", min_seeds: int = MIN_SE
             return found
         found = found.unionByName(more)
         again = _places(docs, text_col).withColumn("value", _core(value)).join(more, "value")
-        edges = edges.unionByName(stored(_exploded(again, "value", "kind").groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges"))
+        edges = edges.unionByName(stored(_exploded(again, "value", "kind", plain=True).groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges"))
 
 
 def _held(docs: DataFrame, text_col: str, values: DataFrame) -> DataFrame:
     """(key of the text, the found values that are items of it with their kinds)."""
-    items = docs.select(_text(docs, text_col).alias("text")).select(F.sha2("text", 256).alias("key"), F.array_distinct(F.regexp_extract_all("text", F.lit(_ITEM), F.lit(0))).alias("items"))
-    met = items.select("key", F.explode("items").alias("item")).select("key", _core(F.col("item")).alias("value")).join(values, "value")
+    items = docs.select(_text(docs, text_col).alias("text")).select(F.sha2("text", 256).alias("key"), F.array_distinct(F.split(_joined(F.col("text")), rf"[{_SPACE}]+", -1)).alias("items"))
+    met = items.select("key", F.explode("items").alias("item")).select("key", _core(F.translate("item", _JOINT, " ")).alias("value")).join(values, "value")
     return stored(met.distinct().groupBy("key").agg(F.collect_list(F.struct("value", "kind")).alias("known")), "pii-held")
 
 
@@ -258,8 +285,9 @@ def _kind_of(value: Column, known: str | Column) -> Column:
 def _found(docs: DataFrame, text_col: str, held: DataFrame) -> DataFrame:
     """(key, spans of found values) of the texts that hold some."""
     df = docs.select(_text(docs, text_col).alias("text")).withColumn("key", F.sha2("text", 256)).dropDuplicates(["key"]).join(held, "key")
+    df = df.withColumn("text", _joined(F.col("text")))
     matches, gaps = _cut("text", _ITEM, "[^ ]")
-    df = df.select("key", "known", matches.alias("m"), gaps.alias("g"))
+    df = df.select("key", "known", F.transform(matches, lambda m: F.translate(m, _JOINT, " ")).alias("m"), gaps.alias("g"))
     df = df.withColumn("e", _sums(F.transform("m", _step(F.col("g")))))
 
     def span(hit: Column) -> Column:
@@ -327,10 +355,11 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_c
         df = docs.withColumn(key, F.sha2(_text(docs, text_col), 256)).join(held, key, "left")
 
         def swap(item: Column) -> Column:
+            item = F.translate(item, _JOINT, " ")
             mask = lambda kind: F.concat(F.regexp_extract(item, _OPEN, 0), F.lit("<FOUND_"), F.upper(kind), F.lit(">"), F.regexp_extract(F.regexp_replace(item, _OPEN, ""), _CLOSE, 0))
             return _let(_kind_of(_core(item), known), lambda kind: F.coalesce(mask(kind), item))
 
-        masked = F.when(F.col(known).isNotNull(), _swapped(masked, _ITEM, "[^ ]", swap)).otherwise(masked)
+        masked = _let(masked, lambda t: F.when(F.col(known).isNotNull(), _swapped(_joined(t), _ITEM, "[^ ]", swap)).otherwise(t))
     df = df.withColumn(new, masked)
     text = docs[text_col]
     out = {text_col: F.when(text.isNotNull(), F.col(new)).otherwise(text)}
