@@ -231,7 +231,8 @@ def _scores(seeds: DataFrame, unknown: DataFrame, min_trust: float, rounds: int,
         found = stored(votes.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score"), "pii-found")
         if found.isEmpty() or k + 1 == rounds:
             break
-        scored = scored.select("pattern", "value").join(found, "value", "left").select("pattern", "value", F.col("kind").alias("guess"), F.coalesce("score", F.lit(0.0)).alias("score"))
+        # Only what is trusted enough supports its patterns, or guesses would support each other.
+        scored = scored.select("pattern", "value").join(found.where(F.col("score") >= accept), "value", "left").select("pattern", "value", F.col("kind").alias("guess"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return found.where(F.col("score") >= accept).select("value", "kind")
 
 

@@ -96,6 +96,51 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+# The rules of the scan as (kind, pattern, group that is measured, its least length); letters in either case are spelt out.
+_OP3_RULES = [
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\'\']?\x20*[:=]\x20*["\'\']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    ("google_api", "AIza[A-Za-z0-9_-]+", 0, 39),
+    ("stripe", "[sr]k_live_[A-Za-z0-9]+", 0, 24),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+]
+_OP3_CUTS = "\n  UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS gs, string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}')"
+    for k, (kind, p, group, least) in enumerate(_OP3_RULES)
+)
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS ({_OP3_CUTS}),
+f AS (SELECT doc_id, k, kind, least, unnest(ms) AS m, unnest(gs) AS g,
+  unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0))) AS a FROM c),
+s AS (SELECT doc_id, k, a, kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + length(m) AS BIGINT) AS VARCHAR) AS said FROM f WHERE length(g) >= least),
+n AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+  string_agg(said, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(said, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, k, substr(h, 1 + 2000 * k, 2098) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS k FROM d)),
+w AS (SELECT doc_id, 1000 * k + j AS i, substr(s, 1 + 2 * j, 100) AS g FROM (SELECT doc_id, k, s, unnest(range(0, least(1000, length(s) // 2 - 49))) AS j FROM b WHERE length(s) >= 100)),
+least_id AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN least_id USING (g) WHERE m < doc_id),
+run AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i - p > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM gone),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS z FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, r, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY r), 0) AS a, a AS z FROM span
+  UNION ALL SELECT doc_id, max(r) + 1, max(z), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 1 + 2 * gap.a, coalesce(2 * (gap.z - gap.a), length(h))), '' ORDER BY r) AS h FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -159,4 +204,4 @@ FROM q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op5_near_duplicates": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_secret_scan": OP3_SQL, "op4_suffix_array_dedup": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_warc": OP10_SQL}

@@ -123,6 +123,22 @@ def test_decontamination(docs, items, texts, shard_words):
     assert decontaminate.contamination(clean, items).where("contaminated").count() == 0
 
 
+#: The contract's base rules, written out here: kind, pattern, group that is measured, its least length.
+SECRETS = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+
+
+def test_secrets_base(spark, docs, texts):
+    hard = ["toKen:'abcdefg' SECRET=abc api_key = xyz12345, apikey:\"q/w+e.r=t\"", "AKIA" + "Z" * 15 + " AKIA" + "9" * 16, "0123456789abcdef" * 400, "passwd:passwd:longenough", "é token=éa token=abcdef", "Ab" * 30 + "cd" * 13]
+    every = docs.unionByName(spark.createDataFrame([(1000 + k, t, "", "", "", 0) for k, t in enumerate(hard)], DOCS))
+    text = {**dict(enumerate(texts)), **{1000 + k: t for k, t in enumerate(hard)}}
+    for r in secrets.secrets(every).where("doc_id IS NOT NULL").collect():
+        found = sorted((m.start(), k, kind, m.end()) for k, (kind, p, group, least) in enumerate(SECRETS) for m in re.finditer(p, text[r.doc_id] or "", re.ASCII) if len(m[group]) >= least)
+        said = [f"{kind}:{a}:{b}" for a, _, kind, b in found]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(kind == f[2] for f in found) for kind, *_ in SECRETS)
+        assert set(said) <= set(r.spans.split(","))
+
+
 def test_secrets(docs, texts):
     for r in secrets.secrets(docs).where("doc_id IS NOT NULL").collect():
         t = texts[r.doc_id] or ""
@@ -254,6 +270,31 @@ def _all_ways(model, word):
     return sorted(out, reverse=True)
 
 
+def test_personal_data_in_two_hops(spark):
+    """Ids that stand only beside what contexts found, never beside a base match; and common words stay."""
+    rows = [f"Please write to my mobile number +1 (9{k:02d}) 555-01{k:02d} today or call." for k in range(12)]
+    rows += [f"Please write to my mobile number 020 79{k:02d} 0958 today or call." for k in range(12)]
+    rows += [f"the desk line was 020 79{k:02d} 0958 yesterday evening." for k in range(12)]
+    rows += [f"the desk line was ext/{k}-b yesterday evening." for k in range(6)]
+    rows += [f"a plain text about number {k} of many things and more." for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    made = {r.doc_id: r for r in personal_data.personal_data(docs).collect()}
+    for i, t in enumerate(rows):
+        value = re.search(r"020 79\d\d 0958|ext/\d-b", t)
+        want = [] if value is None else [f"found_phone:{value.start()}:{value.end()}"]
+        assert [s for s in made[i].spans.split(",") if s.startswith("found")] == want, t
+    clean = {r.doc_id: r.text for r in personal_data.redact(docs).collect()}
+    assert all(clean[i] == re.sub(r"020 79\d\d 0958|ext/\d-b", "<FOUND_PHONE>", re.sub(r"\+1 \(9\d\d\) 555-01\d\d", "<PHONE>", t)) for i, t in enumerate(rows))
+
+
+def test_redact_whole_items_and_any_column_name(spark):
+    rows = [(k, f"my phone number +1 (9{k:02d}) 555-01{k:02d} thanks. Also my phone number 90077{k:02d} thanks.", "a", "b", "c") for k in range(12)]
+    rows += [(50, "invoice 88900770199 of 9007701.", "a", "b", "c")]
+    docs = spark.createDataFrame(rows, "new long, text string, key string, known string, text_key string")
+    clean = {r.new: r for r in personal_data.redact(docs).collect()}
+    assert clean[50].text == "invoice 88900770199 of <FOUND_PHONE>." and (clean[50].key, clean[50].known, clean[50].text_key) == ("a", "b", "c")
+
+
 def test_pieces(spark, docs, texts):
     encoder = pieces.encoder_for(pieces.default_model())
     model = encoder._model()
