@@ -87,13 +87,13 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.nda
     return common[:n]
 
 
-def _earlier(distinct: list[tuple[bytes, int, Segment, int]], window: int) -> list[tuple[Segment, int, int]]:
-    """Windows of the segments that also stand in one with a smaller id and the same anchor.
+def _earlier(distinct: list[tuple[bytes, list[Segment]]], window: int) -> list[tuple[Segment, int, int]]:
+    """Windows of the segments that also stand in one with a smaller id, by groups of equal windows.
 
-    ``distinct``: content, least id, a segment that has it, number of the anchor.
+    ``distinct``: contents, and the segments that have them.
     """
-    sizes = np.array([len(c) for c, *_ in distinct])
-    joined = b"\0".join(c for c, *_ in distinct) + b"\0"
+    sizes = np.array([len(c) for c, _ in distinct])
+    joined = b"\0".join(c for c, _ in distinct) + b"\0"
     symbols = np.frombuffer(joined, dtype=np.uint8).astype(np.int64) + 1
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     symbols[starts + sizes] = 0
@@ -103,9 +103,11 @@ def _earlier(distinct: list[tuple[bytes, int, Segment, int]], window: int) -> li
     offset = order - starts[owner]
     whole = offset + window <= sizes[owner]
     group, owner, offset = group[whole], owner[whole], offset[whole]
-    ids = np.array([i for _, i, *_ in distinct], dtype=np.int64)
+    ids = np.array([min(s.id for s in own) for _, own in distinct], dtype=np.int64)
     least = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, ids[owner])
+    # A segment whose id is above its content's least one is late in every group that its windows are in.
+    out = [(s, 0, len(c) - window + 1) for (c, own), i in zip(distinct, ids.tolist(), strict=True) if len(own) > 1 for s in own if s.id > i]
     late = ids[owner] > least[group]
     owner, offset = owner[late], offset[late]
     by = np.lexsort((offset, owner))
@@ -114,30 +116,27 @@ def _earlier(distinct: list[tuple[bytes, int, Segment, int]], window: int) -> li
     new[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(owner)) - 1
-    return [(distinct[o][2], a, b + 1) for o, a, b in zip(owner[first].tolist(), offset[first].tolist(), offset[last[: len(first)]].tolist(), strict=True)]
+    for o, a, b in zip(owner[first].tolist(), offset[first].tolist(), offset[last[: len(first)]].tolist(), strict=True):
+        out += [(s, a, b + 1) for s in distinct[o][1] if s.id == ids[o]]
+    return out
 
 
 def decide(window: int):
     def run(anchors: list[list[Segment]]) -> list[tuple[Segment, int, int]]:
         out: list[tuple[Segment, int, int]] = []
-        held: list[tuple[bytes, int, Segment, int]] = []
+        held: list[tuple[bytes, list[Segment]]] = []
         size = 0
-        for number, segments in enumerate(anchors):
+        for segments in anchors:
+            if all(s.id == segments[0].id for s in segments):
+                continue
             by: dict[bytes, list[Segment]] = {}
             for s in segments:
                 by.setdefault(s.content, []).append(s)
-            distinct = []
-            for c, own in by.items():
-                least = min(s.id for s in own)
-                out += [(s, 0, len(c) - window + 1) for s in own if s.id > least]
-                # Rows that repeat the least id share its fate: one stands for all.
-                distinct += [(c, least, s, number) for s in own if s.id == least]
-            if len({d[1] for d in distinct}) > 1:
-                held += distinct
-                size += sum(len(d[0]) for d in distinct)
-                if size >= SORT_BYTES:
-                    out += _earlier(held, window)
-                    held, size = [], 0
+            held += by.items()
+            size += sum(map(len, by))
+            if size >= SORT_BYTES:
+                out += _earlier(held, window)
+                held, size = [], 0
         if held:
             out += _earlier(held, window)
         return out

@@ -7,16 +7,16 @@ window lies in exactly one segment.  Therefore all copies of a window meet in th
 of their anchor, and shards can be worked on one by one, however large the corpus.
 
 1. Texts are packed, and the packs stored, compressed.
-2. Each pack tells the shards of its anchors what it has: for every distinct segment its
-   anchor, a hash of its content, and the least id (or how often it stands there).  Copies
-   of a whole segment are settled at once; a shard answers which segments go, and asks for
-   the content of those whose anchor also has other contents.
-3. Packs send these contents; a shard decides (by suffix array or automaton, see the
-   callers) which of their windows are to go.
+2. Each pack tells the shards of its anchors which anchors it has, and whether one alone
+   may hold a repeated window; a shard answers which of them stand more than once.
+3. Packs send the segments of these anchors, equal ones (their bytes compared) once with
+   the least id or how often they stand there; a shard decides, by suffix array or
+   automaton, see the callers, which of their windows are to go.
 4. Packs apply the answers.
 
-Anchors with very many distinct segments do not gather in one shard: these segments are
-cut into single windows, which are spread by their own hash.
+Hashes only bring segments together: whether symbols are equal is read from the bytes.
+Anchors with very many segments do not gather in one shard: these segments are cut into
+single windows, which are spread by their own hash.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .runtime import PACK_BYTES, drop_stored, free_shuffles, packs, stored, text
 
 #: Bytes of packed text that one shard answers for.
 SHARD_BYTES = 12 << 20
-#: Anchors with more segments than this (each counted once per pack) are cut into windows.
+#: Segments of anchors that more packs than this have are cut into windows.
 HOT_PACKS = 4096
 #: Stands for a null id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
@@ -121,12 +121,12 @@ def _numbers(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-#: Bytes of an anchor, beside its shard's number, and of a content, beside its anchor.
-_ANCHOR, _CONTENT = 5, 6
-#: What a shard answers for a segment: all its windows go; its content is asked for; as windows.
-GONE, SHIP, SPLIT = 1, 2, 4
-#: The segment may repeat one of its windows.
-_SELF = 4
+#: Bytes of an anchor, beside its shard's number.
+_ANCHOR = 5
+#: What a shard answers for an anchor: its segments are asked for, whole or as single windows.
+SHIP, SPLIT = 1, 2
+#: What a pack says of an anchor: it has several segments with it; one of them may repeat a window.
+_SEVERAL, _SELF = 1, 2
 
 
 def _shards_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def _read(windows: Windows, ids, lengths, data) -> Pack:
 
 @dataclass
 class Entries:
-    """The distinct segments of a pack, and the runs that have them."""
+    """The distinct anchors of a pack, and the runs that have them."""
 
     text: np.ndarray
     first: np.ndarray
@@ -162,20 +162,14 @@ class Entries:
     #: Entry of each run.
     of: np.ndarray
     anchors: np.ndarray
-    contents: np.ndarray
-    #: Least id of an entry's runs.
-    ids: np.ndarray
-    #: 1 or 2 (or more) runs, and whether a window may repeat inside.
-    weights: np.ndarray
+    flags: np.ndarray
     shards: np.ndarray
 
 
 def _entries(windows: Windows, pack: Pack, n_shards: int) -> Entries:
-    text, first, stop, anchors = windows.runs(pack)
-    contents, at, of, count = np.unique(hashing.ranges(pack.sums, *pack.byte_range(first, stop + windows.window - 1)), return_index=True, return_inverse=True, return_counts=True)
-    ids = np.full(len(contents), NO_ID)
-    np.minimum.at(ids, of, pack.ids[text])
-    weights = np.minimum(count, 2)
+    text, first, stop, own = windows.runs(pack)
+    anchors, of, count = np.unique(own, return_inverse=True, return_counts=True)
+    flags = _SEVERAL * (count > 1)
     if windows.same_text and len(first):
         # A gram that comes again within a window's length is a sign of a repeated window.
         order = np.lexsort((np.arange(len(pack.grams)), pack.grams))
@@ -186,10 +180,17 @@ def _entries(windows: Windows, pack: Pack, n_shards: int) -> Entries:
         sums = np.cumsum(close)
         some = sums[np.minimum(stop + windows.window - windows.gram, len(order))] > sums[first]
         some |= stop - first > windows.window - windows.gram + 1
-        flagged = np.zeros(len(contents), dtype=bool)
+        flagged = np.zeros(len(anchors), dtype=bool)
         flagged[of[some]] = True
-        weights = weights + _SELF * flagged
-    return Entries(text, first, stop, of, anchors[at], contents, ids, weights, _shards_of(anchors[at], n_shards))
+        flags = flags + _SELF * flagged
+    return Entries(text, first, stop, of, anchors, flags, _shards_of(anchors, n_shards))
+
+
+def _by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards that are there, and the places of each."""
+    order = np.argsort(shards, kind="stable")
+    present, at = np.unique(shards[order], return_index=True)
+    yield from zip(present.tolist(), np.split(order, at[1:]), strict=True) if len(present) else ()
 
 
 def _entry_rows(windows: Windows, n_shards: int):
@@ -199,58 +200,27 @@ def _entry_rows(windows: Windows, n_shards: int):
                 pack_id, ids, lengths, data = (batch.column(c)[k].as_py() for c in range(4))
                 e = _entries(windows, _read(windows, ids, lengths, data), n_shards)
                 short = e.anchors // np.uint64(n_shards)
-                rows = []
-                order = np.argsort(e.shards, kind="stable")
-                cuts = np.searchsorted(e.shards[order], np.arange(n_shards + 1))
-                for s in np.unique(e.shards).tolist():
-                    at = order[cuts[s] : cuts[s + 1]]
-                    side = e.weights[at].astype(np.uint8).tobytes() if windows.same_text else e.ids[at].astype("<i8").tobytes()
-                    rows.append((s, pack_id, _bytes(short[at], _ANCHOR), _bytes(e.contents[at], _CONTENT), len(side), _press(side)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["shard", "pack", "anchors", "contents", "size", "side"])
+                rows = [(s, pack_id, _bytes(short[at], _ANCHOR), len(at), _press(e.flags[at].astype(np.uint8).tobytes())) for s, at in _by_shard(e.shards)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["shard", "pack", "anchors", "n", "flags"])
 
     return run
 
 
-def _starts(*keys: np.ndarray) -> np.ndarray:
-    """Where sorted keys change."""
-    new = np.ones(len(keys[0]), dtype=bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return new
-
-
-def _answer_entries(windows: Windows, hot: int):
-    """Settle whole copies; (pack, shard, answers), a byte for each entry of the pack in that shard."""
+def _answer_entries(hot: int):
+    """(pack, shard, answers), a byte for each anchor of the pack in that shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = [[x[c].as_py() for x in table.select(["pack", "anchors", "contents", "size", "side"]).columns] for c in range(table.num_rows)]
-        anchors = [_numbers(r[1], _ANCHOR) for r in rows]
-        sizes = np.array([len(x) for x in anchors])
-        anchor, content = np.concatenate(anchors), np.concatenate([_numbers(r[2], _CONTENT) for r in rows])
-        side = np.frombuffer(b"".join(_unpress(r[4], r[3]) for r in rows), np.uint8 if windows.same_text else "<i8")
-        order = np.lexsort((content, anchor))
-        anchor, content, side = anchor[order], content[order], side[order]
-        by_content = _starts(anchor, content)
-        group = np.cumsum(by_content) - 1
-        by_anchor = _starts(anchor)
-        heads = np.flatnonzero(by_anchor)
-        of = np.cumsum(by_anchor) - 1
-        n_contents = np.add.reduceat(by_content.astype(np.int64), heads)[of]
-        if windows.same_text:
-            total = np.bincount(group, weights=side & 3)[group]
-            gone = total > 1
-            alone = np.add.reduceat((~gone).astype(np.int64), heads)[of] > 0
-            asked = by_content & (((n_contents > 1) & alone) | (~gone & (side >= _SELF)))
-        else:
-            least = np.minimum.reduceat(side, np.flatnonzero(by_content))[group]
-            gone = side > least
-            differ = (np.minimum.reduceat(least, heads) < np.maximum.reduceat(least, heads))[of]
-            asked = ~gone & differ
-        many = np.add.reduceat(asked.astype(np.int64), heads)[of] > hot
-        answer = np.zeros(len(order), dtype=np.uint8)
-        answer[order] = GONE * gone + SHIP * (asked & ~many) + SPLIT * (asked & many)
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        packs_, data, sizes, flags = (table[c].to_pylist() for c in ("pack", "anchors", "n", "flags"))
+        anchor = _numbers(b"".join(data), _ANCHOR)
+        flag = np.frombuffer(b"".join(_unpress(x, n) for x, n in zip(flags, sizes, strict=True)), np.uint8)
+        _, of, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        several = np.zeros(len(count), dtype=bool)
+        several[of[(flag & _SEVERAL) > 0]] = True
+        asked = (count > 1)[of] | several[of] | ((flag & _SELF) > 0)
+        answer = np.where(asked, np.where(count[of] > hot, SPLIT, SHIP), 0).astype(np.uint8)
         shard = table["shard"][0].as_py()
-        out = [(r[0], shard, len(x), _press(x.tobytes())) for r, x in zip(rows, (answer[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True) if x.any()]
+        cuts = np.cumsum([0, *sizes])
+        out = [(p, shard, int(b - a), _press(answer[a:b].tobytes())) for p, a, b in zip(packs_, cuts, cuts[1:], strict=False) if answer[a:b].any()]
         return pa.table([pa.array([r[c] for r in out], type=t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["pack", "shard", "size", "answers"])
 
     return run
@@ -262,7 +232,7 @@ _REPLY = "pack long, gone binary"
 
 
 def _segment_rows(windows: Windows, n_shards: int):
-    """Contents that were asked for; ``gone`` carries what is settled: (text, first symbol, past the last)."""
+    """Segments that were asked for; ``gone`` carries copies of what speaks: (text, first symbol, past the last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,50 +245,65 @@ def _segment_rows(windows: Windows, n_shards: int):
 
 def _segments(windows: Windows, n_shards: int, pack_id: int, pack: Pack, answers: list[dict]) -> pa.RecordBatch:
     e = _entries(windows, pack, n_shards)
-    answer = np.zeros(len(e.contents), dtype=np.uint8)
-    order = np.argsort(e.shards, kind="stable")
-    cuts = np.searchsorted(e.shards[order], np.arange(n_shards + 1))
-    for a in answers:
-        s = a["shard"]
-        answer[order[cuts[s] : cuts[s + 1]]] = np.frombuffer(_unpress(a["answers"], a["size"]), np.uint8)
+    answer = np.zeros(len(e.anchors), dtype=np.uint8)
+    held = {a["shard"]: a for a in answers}
+    for s, at in _by_shard(e.shards):
+        if s in held:
+            answer[at] = np.frombuffer(_unpress(held[s]["answers"], held[s]["size"]), np.uint8)
     own = answer[e.of]
-    gone = (own & GONE) > 0
-    if windows.same_text:
-        # One run speaks for its entry; where all of it goes, it stands for two or more.
-        speaker = np.zeros(len(own), dtype=bool)
-        speaker[np.unique(e.of, return_index=True)[1]] = True
-    else:
-        speaker = pack.ids[e.text] == e.ids[e.of]
-        gone |= ~speaker
-    weight = 1 + gone.astype(np.int32)
-    whole, split = np.flatnonzero(speaker & ((own & SHIP) > 0)), np.flatnonzero(speaker & ((own & SPLIT) > 0))
+    whole, split = np.flatnonzero(own == SHIP), np.flatnonzero(own == SPLIT)
     n = (e.stop - e.first)[split]
     single = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - e.first[split], n)
-    run = np.concatenate([whole, np.repeat(split, n)])
+    text = e.text[np.concatenate([whole, np.repeat(split, n)])]
     first = np.concatenate([e.first[whole], single])
     last = np.concatenate([e.stop[whole], single + 1]) + windows.window - 1
-    anchors = np.concatenate([e.anchors[e.of[whole]], hashing.ranges(pack.sums, *pack.byte_range(single, single + windows.window))])
-    meta = np.zeros(len(run), dtype=_META)
-    meta["anchor"], meta["id"], meta["text"] = anchors, pack.ids[e.text[run]], e.text[run]
-    meta["start"], meta["weight"] = first - pack.edges[e.text[run]], weight[run]
     a, b = pack.byte_range(first, last)
-    meta["size"] = b - a
-    shard = _shards_of(anchors, n_shards)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
+    content = hashing.ranges(pack.sums, a, b)
+    anchors = np.concatenate([e.anchors[e.of[whole]], content[len(whole) :]])
+    speaks, weight = _folded(windows, pack, text, a, b, content)
+    start = first - pack.edges[text]
+    meta = np.zeros(len(text), dtype=_META)
+    meta["anchor"], meta["id"], meta["text"] = anchors, pack.ids[text], text
+    meta["start"], meta["weight"], meta["size"] = start, weight, b - a
     rows = []
-    for s in np.unique(shard).tolist():
-        at = order[cuts[s] : cuts[s + 1]]
+    speaker = np.flatnonzero(speaks)
+    for s, at in _by_shard(_shards_of(anchors[speaker], n_shards)):
+        at = speaker[at]
         data = b"".join(pack.data[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True))
         rows.append((s, pack_id, len(at), _press(meta[at].tobytes()), len(data), _press(data), b""))
-    j = np.flatnonzero(gone)
+    j = np.flatnonzero(~speaks)
     if len(j):
-        start = e.first[j] - pack.edges[e.text[j]]
-        flat = np.stack([e.text[j], start, start + (e.stop - e.first)[j] + windows.window - 1], axis=1).astype("<i4")
+        flat = np.stack([text[j], start[j], start[j] + (last - first)[j]], axis=1).astype("<i4")
         rows.append((pack_id % n_shards, pack_id, 0, b"", 0, b"", flat.tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, (_, _, t) in enumerate(_SEGMENT)], names=[n for n, _, _ in _SEGMENT])
 
 
+def _folded(windows: Windows, pack: Pack, text: np.ndarray, a: np.ndarray, b: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which segments of a pack speak for all equal ones, and for how many; the others go, being copies of what speaks.
+
+    Where only smaller ids count, all segments with the least id speak.
+    """
+    speaks, weight = np.ones(len(text), dtype=bool), np.ones(len(text), dtype=np.int64)
+    if not len(text):
+        return speaks, weight
+    order = np.lexsort((pack.ids[text], content))
+    heads = np.flatnonzero(_starts(content[order]))
+    head = order[heads[np.cumsum(_starts(content[order])) - 1]]
+    data, x, y = pack.data, a.tolist(), b.tolist()
+    for k, h in zip(order.tolist(), head.tolist(), strict=True):
+        if k != h and data[x[k] : y[k]] == data[x[h] : y[h]] and (windows.same_text or pack.ids[text[k]] > pack.ids[text[h]]):
+            speaks[k] = False
+            weight[h] = 2
+    return speaks, weight
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return new
+
+
 @dataclass(slots=True)
 class Segment:
     """One content in a shard: where it stands (row of the shard's table and place in it), and its bytes."""
@@ -374,8 +359,8 @@ def apply_windows(docs: DataFrame, id_col: str, text_col: str, windows: Windows,
     total = packed.agg(F.sum(F.length("data"))).first()[0] or 0
     n_shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // SHARD_BYTES)  # texts are pressed to half or less
 
-    entries = packed.mapInArrow(_entry_rows(windows, n_shards), "shard int, pack long, anchors binary, contents binary, size long, side binary")
-    answers = stored(entries.groupBy("shard").applyInArrow(_answer_entries(windows, hot_packs), "pack long, shard int, size long, answers binary"), "answers")
+    entries = packed.mapInArrow(_entry_rows(windows, n_shards), "shard int, pack long, anchors binary, n long, flags binary")
+    answers = stored(entries.groupBy("shard").applyInArrow(_answer_entries(hot_packs), "pack long, shard int, size long, answers binary"), "answers")
     free_shuffles(spark)
 
     lists = answers.groupBy("pack").agg(F.collect_list(F.struct("shard", "size", "answers")).alias("answers"))

@@ -1,12 +1,12 @@
 """Substring dedup over words: suffix automata of reference shards, matching statistics.
 
 The corpus is cut into shards so that all copies of a window meet (``superwindows``).
-The distinct segments of a shard that share an anchor form a generalised suffix
-automaton, whose states count their occurrences; streaming the segments through it
-gives matching statistics, and the states of the length threshold tell which windows
-occur again.  An automaton holds at most what one anchor has, never the corpus: one
-automaton of everything, broadcast, would grow without bound, so shards are routed to
-the documents that can match them instead.
+The distinct segments of a reference shard form a generalised suffix automaton, whose
+states count their occurrences; streaming the segments through it gives matching
+statistics, and the states of the length threshold tell which windows occur again.  An
+automaton holds at most about ``SHARD_WORDS`` words, never the corpus.  The reference is
+the corpus itself here: its automata, broadcast one by one, would each have to be met by
+every document, which is quadratic; so each shard is sent what can match it instead.
 """
 
 from __future__ import annotations
@@ -23,41 +23,52 @@ from .superwindows import HOT_PACKS, Pack, Segment, Windows, apply_windows
 
 WINDOW = 35
 GRAM = 8
+#: Words of one automaton: some 50 MB in a Python worker.
+SHARD_WORDS = 100_000
+
+
+def _again(reference: dict[bytes, list[Segment]], window: int) -> list[tuple[Segment, int, int]]:
+    """Windows that occur twice or more among the contents of a reference shard."""
+    ids: dict[bytes, int] = {}
+    number = ids.setdefault
+    numbered = [[number(w, len(ids)) for w in c.split(b" ")] for c in reference]
+    automaton = SuffixAutomaton()
+    for sequence, own in zip(numbered, reference.values(), strict=True):
+        automaton.add(sequence, min(2, sum(s.weight for s in own)))
+    automaton.finish()
+    count, of_length = automaton.count, automaton.of_length
+    out = []
+    for sequence, own in zip(numbered, reference.values(), strict=True):
+        states, lengths = automaton.walk(sequence)
+        mask = [n >= window and count[of_length(v, window)] > 1 for v, n in zip(states[window - 1 :], lengths[window - 1 :], strict=True)]
+        at = 0
+        while at < len(mask):
+            if not mask[at]:
+                at += 1
+                continue
+            start = at
+            while at < len(mask) and mask[at]:
+                at += 1
+            out += [(s, start, at) for s in own]
+    return out
 
 
 def decide(window: int):
     def run(anchors: list[list[Segment]]) -> list[tuple[Segment, int, int]]:
-        out = []
+        out: list[tuple[Segment, int, int]] = []
+        held: dict[bytes, list[Segment]] = {}
+        size = 0
         for segments in anchors:
-            by: dict[bytes, list[Segment]] = {}
             for s in segments:
-                by.setdefault(s.content, []).append(s)
-            words = {c: c.split(b" ") for c in by}
-            total = {c: sum(s.weight for s in own) for c, own in by.items()}
-            for c, own in by.items():
-                if total[c] > 1:
-                    out += [(s, 0, len(words[c]) - window + 1) for s in own]
-            alone = [c for c, n in total.items() if n == 1]
-            if not alone:
-                continue
-            ids: dict[bytes, int] = {}
-            numbered = {c: [ids.setdefault(w, len(ids)) for w in ws] for c, ws in words.items()}
-            automaton = SuffixAutomaton()
-            for c, sequence in numbered.items():
-                automaton.add(sequence, min(total[c], 2))
-            automaton.finish()
-            for c in alone:
-                states, lengths = automaton.walk(numbered[c])
-                start = None
-                for end in range(window, len(states) + 1):
-                    again = lengths[end - 1] >= window and automaton.count[automaton.of_length(states[end - 1], window)] > 1
-                    if again and start is None:
-                        start = end - window
-                    if not again and start is not None:
-                        out.append((by[c][0], start, end - window))
-                        start = None
-                if start is not None:
-                    out.append((by[c][0], start, len(states) - window + 1))
+                if s.content not in held:
+                    held[s.content] = []
+                    size += s.content.count(b" ") + 1
+                held[s.content].append(s)
+            if size >= SHARD_WORDS:
+                out += _again(held, window)
+                held, size = {}, 0
+        if held:
+            out += _again(held, window)
         return out
 
     return run
