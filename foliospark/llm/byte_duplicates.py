@@ -21,7 +21,7 @@ from .superwindows import HOT_PACKS, Pack, Segment, Windows, apply_windows
 WINDOW = 50
 GRAM = 20
 #: Bytes of segments whose suffixes are sorted at once.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 17
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
