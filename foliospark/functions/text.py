@@ -40,6 +40,7 @@ PAGE_KIND_DIRS = {
 
 _CJK = r"[\x{3400}-\x{9fff}]"
 _WORD = r"[\p{L}\p{N}]+"
+_LONG_WORD = r"[\p{L}\p{N}]{2,}+"
 
 
 def _col(c: str | Column) -> Column:
@@ -64,14 +65,15 @@ def _with_bigrams(tokens: Column, keep) -> Column:
 
 def lexical_tokens(c: str | Column) -> Column:
     """Lower-cased runs of letters and digits longer than one, in order, repeats included; ideographs also as pairs."""
-    return _with_bigrams(F.regexp_extract_all(F.lower(_col(c)), F.lit(_WORD), F.lit(0)), lambda t: F.length(t) > 1)
+    text = F.lower(_col(c))
+    spread = _with_bigrams(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda t: F.length(t) > 1)
+    return F.when(text.rlike(_CJK), spread).otherwise(F.regexp_extract_all(text, F.lit(_LONG_WORD), F.lit(0)))
 
 
 def unique_tokens(c: str | Column) -> Column:
     """The distinct lexical tokens without stop words, in order of first occurrence."""
     stop = F.array(*map(F.lit, STOP_WORDS))
-    made = _with_bigrams(F.regexp_extract_all(F.lower(_col(c)), F.lit(_WORD), F.lit(0)), lambda t: F.length(t) > 1)
-    return F.array_except(made, stop)
+    return F.array_except(lexical_tokens(c), stop)
 
 
 def page_slug(c: str | Column) -> Column:

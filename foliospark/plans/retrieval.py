@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import lint
 from ..operators import retrieval as R
-from ..session import table
+from ..operators.numbering import running
+from ..session import EngineConfig, table
+from ..storage import stored
 
 TERMS = ["licensed", "version", "the", "password"]
 _LIST = "['" + "', '".join(TERMS) + "']"
@@ -67,12 +70,6 @@ def _cosine(spark, sf):
     return R.cosine(vectors, "doc_id", "embedding", _query_vector(spark, sf))
 
 
-def _hits(spark, sf, n=200):
-    """The best documents by BM25 with their columns; a bounded list meets the table."""
-    ranked = R.top(_bm25(spark, sf), "doc_id", n)
-    return table(spark, sf, "documents").join(F.broadcast(ranked), "doc_id")
-
-
 @query("bm25_topk", f"WITH {BM25_CTE} SELECT doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 50")
 def bm25_topk(spark, sf):
     return R.top(_bm25(spark, sf), "doc_id", 50).select("doc_id", F.round("score", 6).alias("score"), "rank")
@@ -166,8 +163,8 @@ def vector_join(spark, sf):
 
 
 _RRF = f"""WITH {BM25_CTE}, {COS_CTE},
-u AS (SELECT doc_id, 1.0 / (60 + rank) AS part, 'bm25' AS channel, score FROM bmr WHERE rank <= 500
-  UNION ALL SELECT doc_id, 1.0 / (60 + rank), 'embedding', score FROM csr WHERE rank <= 500)"""
+u AS (SELECT doc_id, 1.0 / (60 + rank) AS part, 'bm25' AS channel, score FROM bmr
+  UNION ALL SELECT doc_id, 1.0 / (60 + rank), 'embedding', score FROM csr)"""
 
 
 @query("rrf_fusion", _RRF + " SELECT doc_id, round(sum(CAST(part AS DOUBLE)), 9) AS rrf FROM u GROUP BY doc_id")
@@ -176,7 +173,7 @@ def rrf_fusion(spark, sf):
 
 
 def _fused(spark, sf):
-    return R.fuse({"bm25": R.top(_bm25(spark, sf), "doc_id", 500), "embedding": R.top(_cosine(spark, sf), "doc_id", 500)}, "doc_id")
+    return R.fuse({"bm25": R.ranked(_bm25(spark, sf), "doc_id"), "embedding": R.ranked(_cosine(spark, sf), "doc_id")}, "doc_id")
 
 
 @query("rrf_channel_scores", _RRF + " SELECT doc_id, round(max(CASE WHEN channel = 'bm25' THEN score END), 6) AS bm25_score, round(max(CASE WHEN channel = 'embedding' THEN score END), 6) AS embedding_score FROM u GROUP BY doc_id")
@@ -184,22 +181,25 @@ def rrf_channel_scores(spark, sf):
     return _fused(spark, sf).select("doc_id", F.round("bm25_score", 6).alias("bm25_score"), F.round("embedding_score", 6).alias("embedding_score"))
 
 
-@query("hits_path_quota", f"WITH {BM25_CTE}, h AS (SELECT doc_id, source, rank, row_number() OVER (PARTITION BY source ORDER BY rank) AS place FROM bmr WHERE rank <= 200) SELECT * FROM h WHERE place <= 2")
+@query("hits_path_quota", f"WITH {BM25_CTE}, h AS (SELECT doc_id, source, rank, row_number() OVER (PARTITION BY source ORDER BY rank) AS place FROM bmr) SELECT * FROM h WHERE place <= 2")
 def hits_path_quota(spark, sf):
-    return R.quota(_hits(spark, sf).select("doc_id", "source", "rank"), "source")
+    hits = R.ranked(_bm25(spark, sf), "doc_id").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return R.quota(hits.select("doc_id", "source", "rank"), "source")
 
 
-@query("hits_char_budget", f"WITH {BM25_CTE}, h AS (SELECT doc_id, rank, CAST(sum(n_chars) OVER (ORDER BY rank) AS BIGINT) AS used FROM bmr WHERE rank <= 200) SELECT * FROM h WHERE used <= 60000")
+@query("hits_char_budget", f"WITH {BM25_CTE}, h AS (SELECT doc_id, rank, CAST(sum(n_chars) OVER (ORDER BY rank) AS BIGINT) AS used FROM bmr) SELECT * FROM h WHERE used <= 60000")
 def hits_char_budget(spark, sf):
-    return R.char_budget(_hits(spark, sf).select("doc_id", "rank", "n_chars"), "n_chars", 60_000).select("doc_id", "rank", "used")
+    """Running sums by ranges, so that the whole ranking is summed without one task."""
+    hits = R.ranked(_bm25(spark, sf), "doc_id").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return running(stored(hits.select("doc_id", "rank", "n_chars"), "hits"), ["rank"], "k", {"used": F.col("n_chars")}).where("used <= 60000").select("doc_id", "rank", "used")
 
 
 @query("snippet", f"""WITH {BM25_CTE},
-p AS (SELECT doc_id, text, list_min(list_filter(list_transform({_LIST}, lambda t: strpos(lower(text), t)), lambda x: x > 0)) AS hit FROM bmr WHERE rank <= 200),
+p AS (SELECT doc_id, text, list_min(list_filter(list_transform({_LIST}, lambda t: strpos(lower(text), t)), lambda x: x > 0)) AS hit FROM bmr),
 s AS (SELECT doc_id, text, greatest(coalesce(hit, 1) - 300, 1) AS a FROM p)
 SELECT doc_id, CASE WHEN a > 1 THEN '…' ELSE '' END || substring(text, a, 900) || CASE WHEN a + 899 < length(text) THEN '…' ELSE '' END AS snippet FROM s""")
 def snippet(spark, sf):
-    return _hits(spark, sf).select("doc_id", T.snippet("text", TERMS).alias("snippet"))
+    return table(spark, sf, "documents").join(_bm25(spark, sf).select("doc_id"), "doc_id").select("doc_id", T.snippet("text", TERMS).alias("snippet"))
 
 
 @query("fair_interleave", "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents) SELECT * FROM r ORDER BY place, lang LIMIT 300")
@@ -304,38 +304,53 @@ def wiki_title_score(spark, sf):
 
 # -- lint -----------------------------------------------------------------------------------
 
-_LINT = f"""{PAGES_CTE},
-res AS (SELECT raw.source, raw.key, keys.target FROM raw LEFT JOIN keys USING (key)),
+# Markdown pages made of the web pages, some without a heading, a field or any text.
+_MARKDOWN_SQL = r"""
+pg AS (SELECT page_id, length(html) AS n, contains(html, 'lang="en"') AS en, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS nav FROM pages),
+made AS (SELECT 'wiki/topics/' || page_id || '/' || lower(regexp_extract(title, '^([\p{L}\p{N}]+)', 1)) || '.md' AS path,
+  CASE WHEN n < 1200 THEN ' ' ELSE '---' || chr(10) || 'type: topic' || chr(10) || 'title: ' || title || chr(10) || 'created: 1' || chr(10) || 'updated: 1' || chr(10) || 'tags: []' || chr(10) || 'related: []' || chr(10) || 'sources: []' || chr(10)
+    || CASE WHEN en THEN 'covers: []' || chr(10) || 'summary: s' || chr(10) ELSE '' END || '---' || chr(10)
+    || CASE WHEN n > 3000 THEN '# ' || title || chr(10) ELSE 'text' || chr(10) END
+    || CASE WHEN n > 2000 THEN '## Related' || chr(10) || array_to_string(list_transform(nav, lambda x: '- [[' || x || ']]'), chr(10)) || chr(10) ELSE '' END END AS content,
+  n, en, title, nav, lower(regexp_extract(title, '^([\p{L}\p{N}]+)', 1)) AS base FROM pg)"""
+
+
+def _markdown(spark, sf):
+    html = F.col("html")
+    title = F.regexp_extract(html, _TITLE, 1)
+    nav = F.transform(F.regexp_extract_all(html, F.lit('<a href="/([^"]*)"'), F.lit(1)), lambda x: F.concat(F.lit("- [["), x, F.lit("]]")))
+    n = F.length(html)
+    front = F.concat(F.lit("---\ntype: topic\ntitle: "), title, F.lit("\ncreated: 1\nupdated: 1\ntags: []\nrelated: []\nsources: []\n"), F.when(html.contains('lang="en"'), F.lit("covers: []\nsummary: s\n")).otherwise(""), F.lit("---\n"))
+    head = F.when(n > 3000, F.concat(F.lit("# "), title, F.lit("\n"))).otherwise("text\n")
+    links = F.when(n > 2000, F.concat(F.lit("## Related\n"), F.array_join(nav, "\n"), F.lit("\n"))).otherwise("")
+    path = F.concat(F.lit("wiki/topics/"), F.col("page_id").cast("string"), F.lit("/"), F.lower(F.regexp_extract(title, r"^([\p{L}\p{N}]+)", 1)), F.lit(".md"))
+    return table(spark, sf, "pages").select(path.alias("path"), F.when(n < 1200, F.lit(" ")).otherwise(F.concat(front, head, links)).alias("content"))
+
+
+_LINT = _MARKDOWN_SQL + """,
+names AS (SELECT DISTINCT path, unnest([base, CASE WHEN n < 1200 OR trim(title) = '' THEN base ELSE lower(trim(title)) END]) AS name FROM made),
+alias AS (SELECT name, max(path) AS path FROM names GROUP BY name HAVING count(*) = 1),
+slugs AS (SELECT regexp_replace(regexp_replace(path, '^wiki/', ''), '[.]md$', '') AS slug, path FROM made),
+links AS (SELECT DISTINCT path, lower(trim(regexp_replace(unnest(CASE WHEN n > 2000 THEN nav ELSE [] END), '(?i)[.]md$', ''))) AS link FROM made WHERE n >= 1200),
+res AS (SELECT links.path, link, coalesce(slugs.path, alias.path) AS target FROM links LEFT JOIN slugs ON slug = link LEFT JOIN alias ON name = list_last(string_split(link, '/'))),
 issues AS (
-  SELECT page_id, 'MISSING_TITLE' AS code, 'warning' AS severity, '' AS detail FROM keyed WHERE title = ''
-  UNION ALL SELECT source, 'BROKEN_LINK', 'warning', key FROM res WHERE target IS NULL
-  UNION ALL SELECT page_id, 'NO_OUTLINKS', 'info', '' FROM keyed WHERE page_id NOT IN (SELECT source FROM raw)
-  UNION ALL SELECT page_id, 'ORPHAN_PAGE', 'info', '' FROM keyed WHERE page_id NOT IN (SELECT target FROM edges)
+  SELECT path AS page, 'EMPTY_PAGE' AS code, 'error' AS severity, '' AS detail FROM made WHERE n < 1200
+  UNION ALL SELECT path, 'MISSING_TITLE', 'warning', '' FROM made WHERE n <= 3000
+  UNION ALL SELECT path, 'INCOMPLETE_FRONTMATTER', 'warning', CASE WHEN n < 1200 THEN 'type, title, created, updated, tags, related, sources, covers, summary' ELSE 'covers, summary' END FROM made WHERE n < 1200 OR NOT en
+  UNION ALL SELECT path, 'BROKEN_LINK', 'warning', link FROM res WHERE target IS NULL
+  UNION ALL SELECT path, 'NO_OUTLINKS', 'info', '' FROM made WHERE path NOT IN (SELECT path FROM links)
+  UNION ALL SELECT path, 'ORPHAN_PAGE', 'info', '' FROM made WHERE path NOT IN (SELECT target FROM res WHERE target IS NOT NULL)
 )"""
 
 
-def _issues(spark, sf):
-    p = _pages(spark, sf)
-    raw = _raw_links(p)
-    keys = p.where("key <> ''").groupBy("key").agg(F.max("page_id").alias("target"))
-    met = raw.join(keys, "key", "left")
-    row = lambda df, code, severity, detail=None: df.select("page_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.col(detail) if detail else F.lit("")).alias("detail"))
-    missing = row(p.where("title = ''"), "MISSING_TITLE", "warning")
-    broken = row(met.where("target IS NULL").withColumnRenamed("source", "page_id"), "BROKEN_LINK", "warning", "key")
-    silent = row(p.join(raw.select(F.col("source").alias("page_id")), "page_id", "left_anti"), "NO_OUTLINKS", "info")
-    linked = met.where("target IS NOT NULL AND source <> target").select(F.col("target").alias("page_id"))
-    orphan = row(p.join(linked, "page_id", "left_anti"), "ORPHAN_PAGE", "info")
-    return missing.unionByName(broken).unionByName(silent).unionByName(orphan)
-
-
-@query("link_resolution_lint", f"WITH {_LINT} SELECT page_id, code, severity, detail FROM issues")
+@query("link_resolution_lint", f"WITH {_LINT} SELECT page, code, severity, detail FROM issues")
 def link_resolution_lint(spark, sf):
-    return _issues(spark, sf)
+    return lint.findings(_markdown(spark, sf))
 
 
 @query("lint_summary", f"WITH {_LINT} SELECT severity, code, count(*) AS n FROM issues GROUP BY 1, 2")
 def lint_summary(spark, sf):
-    return _issues(spark, sf).groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
+    return lint.findings(_markdown(spark, sf)).groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("inbound_links", f"WITH {PAGES_CTE} SELECT target AS page_id, count(*) AS n FROM edges GROUP BY target")
@@ -343,20 +358,60 @@ def inbound_links(spark, sf):
     return _graph(spark, sf).groupBy(F.col("target").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def flagship(spark, sf):
-    """Fused hits with quota, budget and snippets."""
-    best = _fused(spark, sf).select("doc_id", F.col("rrf").alias("score"), "bm25_score", "embedding_score")
-    ranked = R.top(best, "doc_id", 200)
-    hits = table(spark, sf, "documents").join(F.broadcast(ranked), "doc_id")
-    kept = R.char_budget(R.quota(hits, "source"), "n_chars", 60_000)
-    return kept.select("doc_id", "rank", F.round("score", 9).alias("rrf"), "bm25_score", "embedding_score", T.snippet("text", TERMS).alias("snippet"))
-
+# -- the flagship: three channels over documents and web pages --------------------------------
 
-@query("retrieve_context", _RRF + """,
-f AS (SELECT doc_id, sum(CAST(part AS DOUBLE)) AS rrf FROM u GROUP BY doc_id),
-r AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, doc_id) AS rank FROM f),
-h AS (SELECT r.doc_id, r.rank, d.n_chars, row_number() OVER (PARTITION BY d.source ORDER BY r.rank) AS place FROM r JOIN documents d USING (doc_id) WHERE rank <= 200),
-b AS (SELECT doc_id, rank, sum(n_chars) OVER (ORDER BY rank) AS used FROM h WHERE place <= 2)
-SELECT doc_id, rank FROM b WHERE used <= 60000""")
+_CORPUS_SQL = f"""
+corpus AS (SELECT 'd' || doc_id AS id, source AS path, regexp_extract(text, '^([^\\n]*)', 1) AS title, text, false AS wiki, doc_id AS vec FROM documents
+  UNION ALL SELECT 'p' || page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1), regexp_replace(html, '<[^>]*>', ' ', 'g'), true, NULL FROM pages),
+tok AS (SELECT id, lower(title) AS title, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1) AS toks FROM corpus),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM tok),
+tf AS (SELECT id, len(toks) AS dl, t, title, len(list_filter(toks, lambda x: x = t)) AS tf FROM tok, (SELECT unnest({_LIST}) AS t)),
+df AS (SELECT t, count(*) AS df FROM tf WHERE tf > 0 GROUP BY t),
+bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) + CASE WHEN contains(title, t) THEN 2.0 ELSE 0.0 END) AS score FROM tf JOIN df USING (t), st WHERE tf > 0 GROUP BY id),
+bmr AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm),
+{PAGES_CTE.strip()},
+seeds AS (SELECT id, row_number() OVER (ORDER BY rank) - 1 AS rank FROM (SELECT id, rank FROM bmr WHERE starts_with(id, 'p') ORDER BY rank LIMIT 20)),
+arcs AS (SELECT 'p' || source AS a, 'p' || target AS b FROM edges UNION SELECT 'p' || target, 'p' || source FROM edges),
+near AS (SELECT b, rank, row_number() OVER (PARTITION BY a ORDER BY b) AS n FROM arcs JOIN seeds ON seeds.id = a),
+boost AS (SELECT b AS id, sum(1.0 / (rank + 1)) AS boost FROM near WHERE n <= 20 GROUP BY b),
+own AS (SELECT id, sum(CASE WHEN lower(title) = t THEN 12.0 WHEN contains(lower(title), t) THEN 5.0 ELSE 0.0 END + CASE WHEN contains(lower(path), t) THEN 2.0 ELSE 0.0 END) AS own FROM corpus, (SELECT unnest({_LIST}) AS t) WHERE wiki GROUP BY id),
+ws AS (SELECT id, CAST(own AS DOUBLE) + coalesce(boost, 0.0) AS score FROM own LEFT JOIN boost USING (id)),
+wsr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ws WHERE score > 0),
+{COS_CTE.strip()},
+emr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM corpus JOIN cs ON cs.doc_id = vec WHERE score > 0),
+u AS (SELECT id, 'bm25' AS c, rank FROM bmr UNION ALL SELECT id, 'wiki', rank FROM wsr UNION ALL SELECT id, 'embedding', rank FROM emr),
+f AS (SELECT id, coalesce(CAST(max(CASE WHEN c = 'bm25' THEN 1.0 / (60 + rank) END) AS DOUBLE), 0) + coalesce(CAST(max(CASE WHEN c = 'wiki' THEN 1.0 / (60 + rank) END) AS DOUBLE), 0) + coalesce(CAST(max(CASE WHEN c = 'embedding' THEN 1.0 / (60 + rank) END) AS DOUBLE), 0) AS rrf FROM u GROUP BY id),
+q2 AS (SELECT f.id, round(rrf, 12) AS rrf, path, text, row_number() OVER (PARTITION BY path ORDER BY round(rrf, 12) DESC, f.id) AS place FROM f JOIN corpus USING (id)),
+h AS (SELECT id, rrf, text, row_number() OVER (ORDER BY rrf DESC, id) AS rank FROM q2 WHERE place <= 2),
+p AS (SELECT id, rrf, rank, text, greatest(coalesce(list_min(list_filter(list_transform({_LIST}, lambda t: strpos(lower(text), t)), lambda x: x > 0)), 1) - 300, 1) AS a FROM h WHERE rank <= 100),
+s AS (SELECT id, rrf, rank, CASE WHEN a > 1 THEN '…' ELSE '' END || substring(text, a, 900) || CASE WHEN a + 899 < length(text) THEN '…' ELSE '' END AS snippet FROM p),
+b AS (SELECT *, sum(length(snippet)) OVER (ORDER BY rank) AS used FROM s)"""
+
+
+def _corpus(spark, sf):
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    a = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("path"), _title().alias("title"), "text", F.lit(False).alias("wiki"))
+    text = F.regexp_replace("html", "<[^>]*>", " ")
+    b = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("path"), F.regexp_extract("html", _TITLE, 1).alias("title"), text.alias("text"), F.lit(True).alias("wiki"))
+    return a.unionByName(b)
+
+
+def flagship(spark, sf, config: EngineConfig = EngineConfig(max_hits=100)):
+    """Hits of three channels over documents and pages: whole rankings fused, then quota, limit and a budget of snippets."""
+    corpus = _corpus(spark, sf)
+    words = R.bm25(R.term_counts(corpus, "id", "text", TERMS, F.col("title")), "id", len(TERMS))
+    lexical = stored(R.ranked(words, "id"), "lexical")
+    page = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias(c)
+    seeds = lexical.where(F.col("id").startswith("p")).orderBy("rank").limit(config.max_neighbours).withColumn("rank", F.row_number().over(Window.orderBy("rank")) - 1)
+    boosts = R.neighbours(_graph(spark, sf).select(page("source"), page("target")), seeds, config.max_neighbours)
+    wiki = R.wiki_scores(corpus.where("wiki"), "id", "title", "path", TERMS, boosts)
+    vectors = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id")
+    near = R.cosine(vectors.withColumn("id", F.concat(F.lit("d"), F.col("vec_id").cast("string"))), "id", "embedding", _query_vector(spark, sf))
+    fused = R.fuse({"bm25": lexical, "wiki": R.ranked(wiki, "id"), "embedding": R.ranked(near, "id")}, "id", config.rrf_k)
+    fused = fused.withColumn("rrf", F.round("rrf", 12))
+    return R.context(fused, corpus, "id", "path", "text", TERMS, config.max_hits, config.hits_per_path, config.max_chars)
+
+
+@query("retrieve_context", "WITH " + _CORPUS_SQL + " SELECT id, rank, round(rrf, 9) AS rrf, snippet FROM b WHERE used <= 60000")
 def retrieve_context(spark, sf):
-    return flagship(spark, sf).select("doc_id", "rank")
+    return flagship(spark, sf).select("id", "rank", F.round("rrf", 9).alias("rrf"), "snippet")

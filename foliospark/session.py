@@ -14,6 +14,8 @@ class EngineConfig:
     rrf_k: int = 60
     max_hits: int = 20
     hits_per_path: int = 2
+    max_neighbours: int = 20
+    max_chars: int = 60_000
     chunk_chars: int = 3000
     batch_chars: int = 6000
     large_source_chars: int = 60_000
