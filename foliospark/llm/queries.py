@@ -98,7 +98,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 
 # The rules of the scan as (kind, pattern, group that is measured, its least length); letters in either case are spelt out.
 _OP3_RULES = [
-    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\'\']?\x20*[:=]\x20*["\'\']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", "AKIA[A-Z0-9]+", 0, 20),
     ("hex", "[0-9a-f]+", 0, 24),
     ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
