@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import knowledge, retrieval
+from .plans import knowledge, pages, retrieval
 from .plans.retrieval import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
-_MODULES = [retrieval, knowledge]
+_MODULES = [retrieval, knowledge, pages]
 
 
 def queries():

@@ -104,6 +104,31 @@ def link_target(c: str | Column) -> Column:
     return F.lower(F.regexp_replace(trim_space(F.regexp_replace(out, r"\\", "/")), r"\.md$", ""))
 
 
+def wiki_target(c: str | Column) -> Column:
+    """A link as retrieval compares it: no leading folder, no extension, lower case; spaces and aliases stay."""
+    out = F.regexp_replace(F.regexp_replace(_col(c), r"\\", "/"), r"(?i)^wiki/", "")
+    return F.lower(F.regexp_replace(out, r"(?i)\.md$", ""))
+
+
+def related_slug(c: str | Column) -> Column:
+    """A related page as pages name it: brackets, folder and extension gone, then the alias; case stays."""
+    out = _col(c)
+    for pattern, to in ((r"\\", "/"), (r"^\[\[", ""), (r"\]\]$", ""), (r"(?i)^wiki/", ""), (r"(?i)\.md$", "")):
+        out = F.regexp_replace(out, pattern, to)
+    return trim_space(F.get(F.split(trim_space(out), r"\|", 2), F.lit(0)))
+
+
+def related_path(c: str | Column) -> Column:
+    """A relative path to a page in a known folder as its slug; anything else is empty."""
+    out = trim_space(c)
+    for pattern, to in ((r"^<|>$", ""), (r"^`|`$", ""), (r"\\", "/"), (r"[?#].*$", ""), (r"^/+", ""), (r"^\./", ""), (r"(?i)^wiki/(?=.)", "")):
+        out = F.regexp_replace(out, pattern, to)
+    parts = F.split(out, "/", -1)
+    root, rest = F.lower(F.get(parts, F.lit(0))), F.slice(parts, 2, F.size(parts))
+    fine = root.isin(sorted(set(PAGE_KIND_DIRS.values()))) & (F.size(rest) > 0) & ~F.exists(rest, lambda x: x.isin("", ".", "..")) & ~out.contains(" ") & ~out.rlike(r"(?i)^[a-z][a-z\d+.-]*:")
+    return F.when(fine, related_slug(F.concat_ws("/", root, F.array_join(rest, "/")))).otherwise("")
+
+
 def snippet(text: str | Column, terms: list[str], before: int = 300, width: int = 900) -> Column:
     """``width`` characters from ``before`` ahead of the earliest term, with ellipses where cut."""
     t = _col(text)
