@@ -3,8 +3,8 @@
 A text is a row of items: words, or runs of number groups.  Items that hold a match of a
 base pattern are seeds.  The words around a seed, digits told apart by their places only,
 are lexical patterns: two words before it, one before and one after, one before, one
-after.  A pattern competes once it has enough different seeds and its seeds are no
-accident among all its places in the corpus.  Patterns and what stands in them form a
+after.  A pattern competes once it has enough different seeds, most of one kind, and
+its seeds are no accident among all its places in the corpus.  Patterns and what stands in them form a
 graph: a pattern is trusted as far as what stands in it is known, an instance as far as
 it stands in trusted patterns, over some rounds.  What is trusted enough becomes a seed:
 all its places in the corpus induce further patterns, until nothing new is found.
@@ -42,7 +42,9 @@ _ITEM = rf"[^{_SPACE}]++"
 _MARKS = r"\"')\]>},.;:!?*|&$%#"
 _OPEN, _CLOSE = r"^[\"'(\[<{*|#]*+", rf"(?<![{_MARKS}])[{_MARKS}]++$"
 #: Different seeds of one kind that a pattern must have, share of its places that must hold one, trust that it needs, and trust that makes an identifier.
-MIN_SEEDS, MIN_RATE, MIN_TRUST, ACCEPT = 3, 0.05, 0.7, 0.9
+MIN_SEEDS, MIN_RATE, MIN_TRUST, ACCEPT = 3, 0.25, 0.7, 0.9
+#: Up to so many patterns or values, the texts that hold a word of theirs are picked before texts are cut.
+FEW = 64
 #: Rounds of scoring between two extensions of the graph.
 ROUNDS = 3
 #: What an instance that is not known counts against a pattern.
@@ -168,6 +170,10 @@ def _joined(text: Column) -> Column:
     return F.when(text.rlike("[0-9)] [0-9(-]"), F.regexp_replace(text, _RUN, _JOINT)).otherwise(text)
 
 
+def _shaped(text: Column) -> Column:
+    return F.translate(F.lower(text), "123456789", "000000000")
+
+
 def _places(docs: DataFrame, text_col: str, value: bool = True, digits: bool = False) -> DataFrame:
     """(value, own, before, last, after) of every place of the corpus; with ``digits``, of those that hold a digit or an at sign.
 
@@ -177,7 +183,7 @@ def _places(docs: DataFrame, text_col: str, value: bool = True, digits: bool = F
     df = docs.where(text.rlike("@|[0-9]{2}|[0-9][.][0-9]")) if digits else docs
     cut = lambda t: F.split(F.regexp_replace(t, rf"^[{_SPACE}]+|[{_SPACE}]+$", ""), rf"[{_SPACE}]+", -1)
     joined = _joined(text)
-    shapes = cut(F.translate(F.lower(joined), "123456789", "000000000"))
+    shapes = cut(_shaped(joined))
     held = df.select(*([cut(joined).alias("items")] if value else []), shapes.alias("own"))
     none = F.array(F.lit(None).cast("string"))
     columns = [F.col("items").alias("value")] if value else []
@@ -199,17 +205,22 @@ def _exploded(places: DataFrame, *columns: str, plain: bool = False) -> DataFram
 _SIDES = (("LL", "before", "last"), ("LR", "last", "after"), ("L", "last"), ("R", "after"))
 
 
-def _counted(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """(pattern, places) in the corpus, of each pattern that stands somewhere.
+def _met(places: DataFrame, patterns: DataFrame, *columns: str) -> DataFrame:
+    """(pattern, columns) for every place that one of some patterns stands at.
 
-    Places meet patterns by a 64-bit hash of the words, so that no string is built for a place.
+    They meet by a 64-bit hash of the words, so that no string is built for a place.
     """
     words = F.split("pattern", " ", -1)
     hashed = patterns.select("pattern", F.xxhash64(F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.get(words, F.lit(2))).alias("hash"))
     known = lambda names: reduce(Column.__and__, (F.col(n).isNotNull() for n in names))
     hashes = F.array(*(F.when(known(side[1:]), F.xxhash64(F.lit(side[0]), *side[1:])) for side in _SIDES))
-    placed = _places(docs, text_col, value=False).select(F.explode(hashes).alias("hash"))
-    return placed.join(hashed, "hash").groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
+    return places.select(F.explode(hashes).alias("hash"), *columns).join(hashed, "hash").select("pattern", *columns)
+
+
+def _picked(docs: DataFrame, text: Column, words: DataFrame) -> DataFrame:
+    """The rows whose text holds one of a few words; all rows where the words are many. Either way no row with a word is lost."""
+    few = [r[0] for r in words.limit(FEW + 1).collect()]
+    return docs.where(reduce(Column.__or__, (text.contains(w) for w in few))) if 0 < len(few) <= FEW else docs
 
 
 def _scores(seeds: DataFrame, unknown: DataFrame, min_trust: float, rounds: int, accept: float) -> DataFrame:
@@ -257,18 +268,21 @@ def identifiers(docs: DataFrame, text_col: str = "text", min_seeds: int = MIN_SE
         seeds = stored(seeds.where(F.greatest(*(f"seed_{k}" for k in names)) >= min_seeds), "pii-seeds")
         fresh = stored(seeds.select("pattern").join(counts, "pattern", "left_anti"), "pii-fresh")
         if not fresh.isEmpty():
-            counts = counts.unionByName(stored(_counted(docs, text_col, fresh), "pii-counts"))
-        rated = stored(seeds.join(counts, "pattern").where(F.col("held") >= min_rate * F.col("places")).drop("held", "places"), "pii-rated")
+            counts = counts.unionByName(stored(_met(_places(docs, text_col, value=False), fresh).groupBy("pattern").agg(F.count(F.lit(1)).alias("places")), "pii-counts"))
+        pure = F.greatest(*(f"seed_{k}" for k in names)) >= min_trust * F.col("n_seeds")
+        rated = stored(seeds.join(counts, "pattern").where(pure & (F.col("held") >= min_rate * F.col("places"))).drop("held", "places"), "pii-rated")
         fresh = stored(rated.select("pattern").join(asked, "pattern", "left_anti"), "pii-fresh")
         if not fresh.isEmpty():
-            met = _exploded(_places(docs, text_col), "value").join(fresh, "pattern").where(_kind(value).isNull())
+            words = F.slice(F.split("pattern", " ", -1), 2, 2)
+            some = _picked(docs, _shaped(_joined(_text(docs, text_col))), fresh.select(F.element_at(F.array_sort(words, lambda a, b: F.length(a) - F.length(b)), -1)))
+            met = _met(_places(some, text_col), fresh, "value").where(_kind(value).isNull())
             unknown = unknown.unionByName(stored(met.select("pattern", _core(value).alias("value")).where("value <> ''").distinct(), "pii-unknown"))
             asked = asked.unionByName(fresh)
         more = stored(_scores(rated, unknown.join(found, "value", "left_anti"), min_trust, rounds, accept), "pii-more")
         if more.isEmpty():
             return found
         found = found.unionByName(more)
-        again = _places(docs, text_col).withColumn("value", _core(value)).join(more, "value")
+        again = _places(_picked(docs, _text(docs, text_col), more.select("value")), text_col).withColumn("value", _core(value)).join(more, "value")
         edges = edges.unionByName(stored(_exploded(again, "value", "kind", plain=True).groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges"))
 
 
