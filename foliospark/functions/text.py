@@ -98,6 +98,14 @@ def page_path(kind: str | Column, title: str | Column) -> Column:
     return F.concat(F.lit("wiki/"), folder, F.lit("/"), page_slug(title), F.lit(".md"))
 
 
+def valid_page_path(c: str | Column) -> Column:
+    """Whether a path is a normalised one to a page in a known folder that the library doesn't keep itself."""
+    path = _col(c)
+    roots = "|".join(sorted(set(PAGE_KIND_DIRS.values())))
+    inside = path.rlike(rf"\A(?:wiki)/(?:{roots})/(?:[^/\\\x00]+/)*[^/\\\x00]*(?i:\.md)\z")
+    return F.coalesce(inside & ~path.rlike(r"(?:^|/)\.{0,2}(?:/|\z)") & ~path.isin(["wiki/index.md", "wiki/overview.md", "wiki/log.md"]), F.lit(False))
+
+
 def link_target(c: str | Column) -> Column:
     """A link's target as lint compares it: no alias, no anchor, no extension, lower case."""
     out = F.regexp_replace(F.regexp_replace(_col(c), r"\|.*$", ""), r"#.*$", "")

@@ -8,6 +8,7 @@ of analyses is one plan.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,3 +83,34 @@ def grounding_errors(candidates: DataFrame, max_reuse: int = MAX_REUSE) -> DataF
 def validate(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """All errors; a batch without a row here is valid."""
     return shape_errors(candidates).unionByName(reference_errors(candidates, chunks)).unionByName(grounding_errors(candidates)).select(*ERRORS)
+
+
+def _comparable(text: str, relaxed: bool) -> tuple[str, list[int], list[int]]:
+    """Compatibility characters, single spaces and, if relaxed, straight quotes without emphasis; with the place of each character."""
+    out: list[tuple[str, int, int]] = []
+    gap: list[int] | None = None
+    for at, char in enumerate(text):
+        for c in unicodedata.normalize("NFKC", char):
+            if c.isspace():
+                gap = [gap[0] if gap else at, at + 1]
+                continue
+            if gap and out and out[-1][0] != " ":
+                out.append((" ", *gap))
+            gap = None
+            if relaxed:
+                if c in "*`":
+                    continue
+                c = '"' if c in "“”„‟" else "'" if c in "‘’‚‛" else c
+            out.append((c, at, at + 1))
+    return "".join(c for c, _, _ in out), [a for _, a, _ in out], [b for _, _, b in out]
+
+
+def original_quote(source: str, quote: str) -> str | None:
+    """The one place of a source that a quote names but for spaces, compatibility forms, quotation marks or emphasis; None if there is none or several."""
+    for relaxed in (False, True):
+        held, starts, ends = _comparable(source, relaxed)
+        asked = _comparable(quote, relaxed)[0].strip()
+        first = held.find(asked) if asked else -1
+        if first >= 0 and held.find(asked, first + 1) < 0:
+            return source[starts[first] : ends[first + len(asked) - 1]]
+    return None

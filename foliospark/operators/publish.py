@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +21,33 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside and rename over."""
+    """Write beside and rename over in one step: readers find the old file or the new one, never none."""
     fs, p = _fs(spark, path)
     beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"cannot publish {path}")
+    kinds = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark._sc._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(beside, p, over)
+
+
+class _Lock:
+    """One committer at a time: a file that only one can create."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.fs, self.path = _fs(spark, f"{root}/commit.lock")
+
+    def __enter__(self) -> None:
+        try:
+            self.fs.create(self.path, False).close()
+        except Py4JJavaError as e:
+            raise RuntimeError(f"another commit is under way, or one left {self.path}") from e
+
+    def __exit__(self, *_) -> None:
+        self.fs.delete(self.path, False)
 
 
 def pointer(spark: SparkSession, root: str) -> dict | None:
@@ -66,6 +84,7 @@ def commit(spark: SparkSession, root: str, patches: DataFrame) -> DataFrame:
 
     ``remove`` drops a page.  Pages without a patch are carried over as they are.
     """
+    before = pointer(spark, root)
     pages = current(spark, root)
     bad = conflicts(pages, patches)
     if not bad.isEmpty():
@@ -75,5 +94,8 @@ def commit(spark: SparkSession, root: str, patches: DataFrame) -> DataFrame:
     pages.join(patches.select("path"), "path", "left_anti").select("path", "content", "file_hash").unionByName(made).write.parquet(f"{root}/{version}")
     written = spark.read.parquet(f"{root}/{version}")
     n, revision = written.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "file_hash").cast("decimal(38,0)"))).first()
-    _write(spark, f"{root}/current.json", json.dumps({"version": version, "pages": n, "revision": str(revision)}))
+    with _Lock(spark, root):
+        if pointer(spark, root) != before:
+            raise RuntimeError("the published version changed meanwhile; read it and commit again")
+        _write(spark, f"{root}/current.json", json.dumps({"version": version, "pages": n, "revision": str(revision)}))
     return bad

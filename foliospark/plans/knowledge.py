@@ -226,12 +226,14 @@ def page_paths(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.page_path(F.lit(" Concept "), F.col("p_name")).alias("path"))
 
 
-@query("path_validation", "SELECT page_id, page_id % 4 = 0 AS valid FROM pages")
+@query("path_validation", r"""SELECT page_id, CASE WHEN lang = 'en' THEN NOT regexp_matches(word, '[/\\]') AND word NOT IN ('', '.', '..') WHEN lang = 'de' THEN false WHEN lang = 'fr' THEN NOT regexp_matches(word, '[/\\]') AND word NOT IN ('', '.', '..') ELSE false END AS valid
+FROM (SELECT page_id, regexp_extract(html, 'lang="([a-z]*)"', 1) AS lang, regexp_extract(html, '<a href="/([^"]*)"', 1) AS word FROM pages)""")
 def path_validation(spark, sf):
-    roots = "|".join(sorted(set(T.PAGE_KIND_DIRS.values())))
-    path = F.element_at(F.array(F.lit("wiki/topics/a-b.md"), F.lit("wiki/topics/../x.md"), F.lit("C:/wiki/topics/x.md"), F.lit("wiki/index.md")), (F.col("page_id") % 4 + 1).cast("int"))
-    ok = path.rlike(rf"^wiki/({roots})/(?:[^/\\:]+/)*[^/\\:]+\.md$") & ~path.rlike(r"(^|/)\.\.?(/|$)")
-    return table(spark, sf, "pages").select("page_id", ok.alias("valid"))
+    """Paths made of the pages' first links: valid ones in two languages, traversal and drive letters in the others."""
+    lang, word = F.regexp_extract("html", 'lang="([a-z]*)"', 1), F.regexp_extract("html", '<a href="/([^"]*)"', 1)
+    path = F.when(lang == "en", F.concat(F.lit("wiki/topics/"), word, F.lit("/page.MD"))).when(lang == "de", F.concat(F.lit("wiki/topics/../"), word, F.lit(".md")))
+    path = path.when(lang == "fr", F.concat(F.lit("wiki/entities/"), word, F.lit("/x.md"))).otherwise(F.concat(F.lit("C:/wiki/topics/"), word, F.lit(".md")))
+    return table(spark, sf, "pages").select("page_id", T.valid_page_path(path).alias("valid"))
 
 
 # -- requirements, coverage, shards ---------------------------------------------------------
