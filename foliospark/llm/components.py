@@ -1,10 +1,10 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components of an edge table: folding by union-find, then alternating large and small stars.
 
-Before the first round each task folds its own edges by union-find, some at a time, so
-that paths within a task are stars already; memory is bounded by the number folded at
-once.  Nothing leaves the executors; each round is stored, so lineage stays short and a
-lost executor costs one round at most.  The number of rounds grows with the logarithm
-of the longest path.
+Tasks of ``FOLD`` edges each, as many as the edges need, fold them to the least node of
+their trees; what one task has folded alone is done.  Otherwise a large and a small star
+join what the tasks found, and the next round folds fewer edges.  Nothing leaves the
+executors; each round is stored, so lineage stays short and a lost executor costs one
+round at most.  The number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -80,14 +80,19 @@ def components(edges: DataFrame, label: str = "components", fold: int = FOLD) ->
     """
     clean = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct()
     kind = clean.schema["a"].dataType.simpleString()
-    held = stored(clean.mapInArrow(_fold(fold), f"a {kind}, b {kind}").distinct(), label)
-    print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    seen = print_of(held)
-    while seen[0]:
+    held = stored(clean, label)
+    seen = None
+    while True:
+        tasks = max(1, -(-held.count() // fold))
+        made = stored(held.coalesce(tasks).mapInArrow(_fold(fold), f"a {kind}, b {kind}"), label)
+        drop_stored(held)
+        held = made
+        if tasks == 1:
+            break
         made = stored(_star(_star(held, small=False), small=True), label)
-        now = print_of(made)
         drop_stored(held)
         held = made
+        now = tuple(held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == seen:
             break
         seen = now

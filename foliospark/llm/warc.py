@@ -118,7 +118,12 @@ def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     data, at = b"", 0
     for piece in pieces:
         data, at = data[at:] + piece, 0
-        while (stop := data.find(_SEPARATOR, at)) >= 0:
+        while True:
+            while data.startswith(b"\r\n", at):  # left where a block ended in a line break
+                at += 2
+            stop = data.find(_SEPARATOR, at)
+            if stop < 0:
+                break
             first, *lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
             if not first.startswith("WARC/"):
                 raise ValueError(f"no WARC record: {first[:40]!r}")
