@@ -90,15 +90,8 @@ def document_chunks(spark, sf):
     return made.select("doc_id", "ordinal", "start_offset", "end_offset", "token_estimate", "content_hash")
 
 
-@query("chunk_totals", "SELECT doc_id, CAST(length(trim(text, chr(10))) AS BIGINT) AS n_chars FROM documents WHERE length(text) <= 3000 AND NOT regexp_matches(text, '\\n[ ]*\\n')")
+@query("chunk_totals")
 def chunk_totals(spark, sf):
-    d = table(spark, sf, "documents").where((F.length("text") <= 3000) & ~F.col("text").rlike(r"\n[ ]*\n"))
-    made = ingest.document_chunks(d, "doc_id", "text", 3000)
-    return made.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n_chars"))
-
-
-@query("chunk_totals_all")
-def chunk_totals_all(spark, sf):
     """Of every document with a chunk, whatever its length and blank lines; SQL cannot cut chunks."""
     made = ingest.document_chunks(table(spark, sf, "documents"), "doc_id", "text", 3000)
     return made.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n_chars"))
@@ -129,13 +122,9 @@ def excel_dates(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.excel_date(F.col("p_size") + 40).alias("day"))
 
 
-@query("column_names", "SELECT p_partkey, CASE WHEN p_partkey > 26 THEN chr(CAST(64 + (p_partkey - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (p_partkey - 1) % 26 AS INTEGER)) AS col FROM part WHERE p_partkey BETWEEN 1 AND 702")
+@query("column_names", """WITH RECURSIVE c AS (SELECT p_partkey, p_partkey AS n, '' AS col FROM part
+  UNION ALL SELECT p_partkey, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || col FROM c WHERE n > 0) SELECT p_partkey, col FROM c WHERE n <= 0""")
 def column_names(spark, sf):
-    return table(spark, sf, "part").where("p_partkey BETWEEN 1 AND 702").select("p_partkey", T.column_name(F.col("p_partkey")).alias("col"))
-
-
-@query("column_names_all")
-def column_names_all(spark, sf):
     """Of every key, with as many letters as it needs."""
     return table(spark, sf, "part").select("p_partkey", T.column_name(F.col("p_partkey")).alias("col"))
 
@@ -200,13 +189,15 @@ def evidence_reuse(spark, sf):
 _STOP = "['" + "', '".join(T.STOP_WORDS) + "']"
 
 
-@query("grounding_overlap", rf"""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(substring(text, 1, 200)), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1 AND NOT list_contains({_STOP}, x))) AS a,
- list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1 AND NOT list_contains({_STOP}, x))) AS b FROM documents)
-SELECT doc_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS shared, len(list_intersect(a, b)) >= 2 AND len(list_intersect(a, b)) >= 0.5 * len(b) AS supported FROM d""")
+@query("grounding_overlap", rf"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1 AND NOT list_contains({_STOP}, x))) AS a FROM conversations)
+SELECT p.conv_id, p.turn, CAST(len(list_intersect(p.a, q.a)) AS BIGINT) AS shared, len(list_intersect(p.a, q.a)) >= 2 AND len(list_intersect(p.a, q.a)) >= 0.5 * len(p.a) AS supported
+FROM t p JOIN t q ON p.conv_id = q.conv_id AND q.turn = p.turn + 1""")
 def grounding_overlap(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.unique_tokens(F.substring("text", 1, 200)).alias("a"), T.unique_tokens("text").alias("b"))
+    """How far each whole turn is supported by the next one."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", T.unique_tokens("text").alias("a"))
+    met = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
     shared = F.size(F.array_intersect("a", "b"))
-    return d.select("doc_id", shared.cast("long").alias("shared"), ((shared >= 2) & (shared >= 0.5 * F.size("b"))).alias("supported"))
+    return met.select("conv_id", "turn", shared.cast("long").alias("shared"), ((shared >= 2) & (shared >= 0.5 * F.size("a"))).alias("supported"))
 
 
 @query("confidence_coercion", "SELECT p_partkey, CASE WHEN p_size <= 10 THEN p_size / 10.0 WHEN p_size % 2 = 0 THEN NULL ELSE 0.5 END AS confidence FROM part")
@@ -275,15 +266,8 @@ def coverage_duplicate(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.countDistinct("l_suppkey").alias("n")).where("n > 1")
 
 
-@query("shard_manifest", "SELECT p_partkey, 'shard-' || lpad(CAST((row_number() OVER (ORDER BY p_name, p_partkey) - 1) // 6 + 1 AS VARCHAR), 4, '0') AS shard FROM part WHERE p_size = 7")
+@query("shard_manifest", "WITH n AS (SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_name, p_partkey) - 1) // 6 + 1 AS VARCHAR) AS n FROM part) SELECT p_partkey, 'shard-' || lpad(n, CAST(greatest(length(n), 4) AS INTEGER), '0') AS shard FROM n")
 def shard_manifest(spark, sf):
-    k = F.row_number().over(Window.orderBy("p_name", "p_partkey"))
-    n = (F.floor((k - 1) / 6) + 1).cast("string")
-    return table(spark, sf, "part").where("p_size = 7").select("p_partkey", F.concat(F.lit("shard-"), F.lpad(n, 4, "0")).alias("shard"))
-
-
-@query("shard_manifest_all")
-def shard_manifest_all(spark, sf):
     """Over the whole table; a shard number of more than four digits keeps them all."""
     rows = numbering.running(table(spark, sf, "part").select("p_name", "p_partkey"), ["p_name", "p_partkey"])
     n = (F.floor((F.col("k") - 1) / 6) + 1).cast("string")
@@ -322,9 +306,9 @@ def page_cursor(spark, sf):
     return ranked.crossJoin(F.broadcast(d.agg(_n("total"))))
 
 
-@query("page_budget", "WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS k, sum(n_chars) OVER (ORDER BY doc_id) AS used FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500)) SELECT doc_id, k FROM r WHERE used <= 20000 OR k = 1")
+@query("page_budget", "WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS k, sum(n_chars) OVER (ORDER BY doc_id) AS used FROM documents) SELECT doc_id, k FROM r WHERE used <= 20000 OR k = 1")
 def page_budget(spark, sf):
-    """The budget runs over the whole table; the SQL's 500 rows are more than it ever admits of the given tables."""
+    """The budget runs over the whole table."""
     rows = numbering.running(table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"], sums={"used": F.col("n_chars")})
     return rows.where("used <= 20000 OR k = 1").select("doc_id", "k")
 
@@ -373,20 +357,10 @@ def patch_conflicts(spark, sf):
     return p.select("o_orderkey", error.alias("error"))
 
 
-@query("eviction_lru_budget", """WITH r AS (SELECT p_partkey, CAST(p_retailprice AS BIGINT) AS bytes, p_size AS age FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)),
+@query("eviction_lru_budget", """WITH r AS (SELECT p_partkey, CAST(p_retailprice AS BIGINT) AS bytes, p_size AS age FROM part),
 k AS (SELECT *, sum(CASE WHEN age > 45 THEN 0 ELSE bytes END) OVER (ORDER BY age, p_partkey) AS held FROM r)
 SELECT p_partkey, age > 45 OR held > 20000 AS evicted FROM k""")
 def eviction_lru_budget(spark, sf):
-    part = table(spark, sf, "part")
-    first = part.agg(F.min("p_brand").alias("p_brand"))
-    r = part.join(F.broadcast(first), "p_brand").select("p_partkey", F.col("p_retailprice").cast("decimal(20,0)").cast("long").alias("bytes"), F.col("p_size").alias("age"))
-    w = Window.orderBy("age", "p_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.sum(F.when(F.col("age") > 45, 0).otherwise(F.col("bytes"))).over(w)
-    return r.select("p_partkey", ((F.col("age") > 45) | (held > 20000)).alias("evicted"))
-
-
-@query("eviction_lru_budget_all")
-def eviction_lru_budget_all(spark, sf):
     """One budget over the whole table."""
     r = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(20,0)").cast("long").alias("bytes"), F.col("p_size").alias("age"))
     r = numbering.running(r, ["age", "p_partkey"], sums={"held": F.when(F.col("age") > 45, 0).otherwise(F.col("bytes"))})

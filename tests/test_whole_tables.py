@@ -25,13 +25,13 @@ def letters(n):
 
 def test_shard_manifest_all(spark, part):
     keys = [r.p_partkey for r in sorted(part, key=lambda r: (r.p_name, r.p_partkey))]
-    got = {r.p_partkey: r.shard for r in knowledge.shard_manifest_all(spark, SF).collect()}
+    got = {r.p_partkey: r.shard for r in knowledge.shard_manifest(spark, SF).collect()}
     assert got == {k: f"shard-{i // 6 + 1:04d}" for i, k in enumerate(keys)}
 
 
 def test_shard_of_five_digits(spark, tmp_path):
     spark.range(60_001).selectExpr("'x' AS p_name", "id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.p_partkey: r.shard for r in knowledge.shard_manifest_all(spark, str(tmp_path)).collect()}
+    got = {r.p_partkey: r.shard for r in knowledge.shard_manifest(spark, str(tmp_path)).collect()}
     assert len(got) == 60_001 and got[60_000] == "shard-10001" and got[59_999] == "shard-10000" and got[59_993] == "shard-9999"
 
 
@@ -40,11 +40,11 @@ def test_eviction_all(spark, part):
     for r in sorted(part, key=lambda r: (r.p_size, r.p_partkey)):
         held += 0 if r.p_size > 45 else int(r.p_retailprice + 0.5)
         want[r.p_partkey] = r.p_size > 45 or held > 20000
-    assert {r.p_partkey: r.evicted for r in knowledge.eviction_lru_budget_all(spark, SF).collect()} == want
+    assert {r.p_partkey: r.evicted for r in knowledge.eviction_lru_budget(spark, SF).collect()} == want
 
 
 def test_column_names_all(spark, part):
-    got = {r.p_partkey: r.col for r in knowledge.column_names_all(spark, SF).collect()}
+    got = {r.p_partkey: r.col for r in knowledge.column_names(spark, SF).collect()}
     assert got == {r.p_partkey: letters(r.p_partkey) for r in part}
     numbers = [1, 26, 27, 702, 703, 18_278, 18_279, 475_254, 475_255, 2**31, 10**15]
     df = spark.createDataFrame([(n,) for n in numbers], "n long")
@@ -54,7 +54,7 @@ def test_column_names_all(spark, part):
 def test_chunk_totals_all(spark, tmp_path):
     texts = ["one line", "\n\n".join(["a" * 1000] * 5), "b" * 1000 + "\n \n" + "c" * 10, "d" * 9000]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.n_chars for r in knowledge.chunk_totals_all(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.n_chars for r in knowledge.chunk_totals(spark, str(tmp_path)).collect()}
     # Of five paragraphs two with the blank line between them fill a chunk.
     assert got == {0: 8, 1: 2002 + 2002 + 1000, 2: 1013, 3: 9000}
 
