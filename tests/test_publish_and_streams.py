@@ -54,3 +54,20 @@ def test_first_requests(spark, tmp_path):
     got = _stream(spark, tmp_path, "firsts", lambda e: tasks.first_requests(e.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], keep="400 days"))
     n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type").distinct().count()
     assert got.count() == n
+
+
+def test_timer_closes_a_quiet_window(spark, tmp_path):
+    """A query that runs on tells the number of a window that no event closed."""
+    import time
+
+    source = str(tmp_path / "in")
+    spark.sql("SELECT 7L AS event_id, current_timestamp() AS ts, 1L AS user_id").write.parquet(source)
+    events = spark.readStream.schema("event_id long, ts timestamp, user_id long").parquet(source)
+    q = tasks.triggers(events, seconds=1, timer=True).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("quiet").count() < 2:
+            time.sleep(0.5)
+        assert {(r.event_id, r.win) for r in spark.table("quiet").collect()} == {(7, 1), (None, 1)}
+    finally:
+        q.stop()
