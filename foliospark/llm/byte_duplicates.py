@@ -32,7 +32,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     for j in range(span):
         key = key << 9
         key[: max(0, n - j)] |= symbols[j:]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # suffixes that agree to the depth may stand in any order
     while True:
         new = np.ones(n, dtype=bool)
         new[1:] = key[order][1:] != key[order][:-1]
@@ -42,7 +42,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
             return order
         key = rank * (n + 1)
         key[: max(0, n - span)] += rank[span:]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         span *= 2
 
 
@@ -55,22 +55,30 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.nda
     the next round; each place is found once.
     """
     n = len(symbols)
-    common = np.full(n + 1, -1, dtype=np.int64)
+    common = np.full(n + 1, -1, dtype=np.int32)
     common[n] = 0
     transform = symbols[order - 1]  # the symbol before each suffix; the text is read as a ring
-    before = np.argsort(transform, kind="stable")
-    step = np.empty(n, dtype=np.int64)  # from a suffix to the one that is a symbol longer
-    step[before] = np.arange(n)
-    lo, hi = np.array([0]), np.array([n])
+    before = np.argsort(transform.astype(np.uint16), kind="stable")
+    step = np.empty(n, dtype=np.int32)  # from a suffix to the one that is a symbol longer
+    step[before] = np.arange(n, dtype=np.int32)
+    firsts = symbols[order].astype(np.int16)
+    owner = np.empty(n, dtype=np.int32)
+    lo, hi = np.array([0], dtype=np.int32), np.array([n], dtype=np.int32)
     value = 0
     while len(lo) and value < depth:
         size = hi - lo
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) - np.repeat(ends - size - lo, size)
-        of = np.repeat(np.arange(len(lo)), size)
-        to = step[at]
-        by = np.argsort(to, kind="stable")
-        to, of, symbol = to[by], of[by], transform[at][by]
+        ends = np.cumsum(size, dtype=np.int32)
+        of = np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        to = step[np.arange(ends[-1], dtype=np.int32) - (ends - size - lo)[of]]
+        if 8 * len(to) > n:  # in order of place by marking them, else by sorting them
+            owner.fill(-1)
+            owner[to] = of
+            to = np.flatnonzero(owner >= 0).astype(np.int32)
+            of = owner[to]
+        else:
+            by = np.argsort(to)
+            to, of = to[by], of[by]
+        symbol = firsts[to]
         cut = np.ones(len(to), dtype=bool)
         cut[1:] = (of[1:] != of[:-1]) | (symbol[1:] != symbol[:-1]) | (to[1:] != to[:-1] + 1)
         first = np.flatnonzero(cut)

@@ -227,7 +227,9 @@ def _answer_entries(hot: int):
 
 
 _SEGMENT = [("shard", "int", pa.int32()), ("pack", "long", pa.int64()), ("n", "long", pa.int64()), ("meta", "binary", pa.binary()), ("size", "long", pa.int64()), ("data", "binary", pa.binary()), ("gone", "binary", pa.binary())]
-_META = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("text", "<i4"), ("start", "<i4"), ("size", "<i4"), ("weight", "<i4")])
+#: What travels with a segment, column by column, which presses better: its anchor, and these numbers.
+_META = ("id", "text", "start", "size", "weight")
+_META_KIND = {"id": "<i8"}
 _REPLY = "pack long, gone binary"
 
 
@@ -262,15 +264,15 @@ def _segments(windows: Windows, n_shards: int, pack_id: int, pack: Pack, answers
     anchors = np.concatenate([e.anchors[e.of[whole]], content[len(whole) :]])
     speaks, weight = _folded(windows, pack, text, a, b, content)
     start = first - pack.edges[text]
-    meta = np.zeros(len(text), dtype=_META)
-    meta["anchor"], meta["id"], meta["text"] = anchors, pack.ids[text], text
-    meta["start"], meta["weight"], meta["size"] = start, weight, b - a
+    short = anchors // np.uint64(n_shards)
+    meta = {"id": pack.ids[text], "text": text, "start": start, "size": b - a, "weight": weight}
     rows = []
     speaker = np.flatnonzero(speaks)
     for s, at in _by_shard(_shards_of(anchors[speaker], n_shards)):
         at = speaker[at]
         data = b"".join(pack.data[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True))
-        rows.append((s, pack_id, len(at), _press(meta[at].tobytes()), len(data), _press(data), b""))
+        told = b"".join([_bytes(short[at], _ANCHOR), *(meta[f][at].astype(_META_KIND.get(f, "<i4")).tobytes() for f in _META)])
+        rows.append((s, pack_id, len(at), _press(told), len(data), _press(data), b""))
     j = np.flatnonzero(~speaks)
     if len(j):
         flat = np.stack([text[j], start[j], start[j] + (last - first)[j]], axis=1).astype("<i4")
@@ -320,6 +322,19 @@ class Segment:
 Decide = Callable[[list[list[Segment]]], list[tuple[Segment, int, int]]]
 
 
+#: Bytes of one segment's anchor and numbers.
+_META_BYTES = _ANCHOR + sum(np.dtype(_META_KIND.get(f, "<i4")).itemsize for f in _META)
+
+
+def _told(data: bytes, n: int) -> Iterator[tuple]:
+    """Anchor and numbers of ``n`` segments."""
+    columns, at = [_numbers(data[: n * _ANCHOR], _ANCHOR).tolist()], n * _ANCHOR
+    for f in _META:
+        columns.append(np.frombuffer(data, _META_KIND.get(f, "<i4"), n, at).tolist())
+        at += n * np.dtype(_META_KIND.get(f, "<i4")).itemsize
+    return zip(*columns, strict=True)
+
+
 def _answer_segments(windows: Windows, decide: Decide):
     def run(table: pa.Table) -> pa.Table:
         packs_ = table["pack"].to_pylist()
@@ -328,7 +343,7 @@ def _answer_segments(windows: Windows, decide: Decide):
         columns = [table[c].to_pylist() for c in ("n", "meta", "size", "data")]
         for row, (n, meta, size, data) in enumerate(zip(*columns, strict=True)):
             at, data = 0, _unpress(data, size)
-            for anchor, own, text, start, length, weight in np.frombuffer(_unpress(meta, n * _META.itemsize), _META).tolist():
+            for anchor, own, text, start, length, weight in _told(_unpress(meta, n * _META_BYTES), n):
                 by.setdefault(anchor, []).append(Segment(row, text, start, own, weight, data[at : at + length]))
                 at += length
         for segment, a, b in decide(list(by.values())):
