@@ -106,20 +106,21 @@ class PieceModel:
 
         return closed(held)
 
-    def forward(self, word: str, held: bool) -> tuple[list[float], list[int], list[list[tuple]] | None]:
-        """Viterbi: the best score up to every place, where the edge that gives it begins, and, if ``held``, all edges as (start, edge)."""
+    def forward(self, word: str, held: bool) -> tuple[list[float], list[list[tuple]] | None]:
+        """Viterbi: the best score up to every place and, if ``held``, all edges into it as (score up to it by this edge, start, ids)."""
         n, root, floor = len(word), self.tree, -math.inf
-        best, back = [0.0] + [floor] * n, [0] * (n + 1)
+        best = [0.0] + [floor] * n
         into: list[list[tuple]] | None = [[] for _ in range(n + 1)] if held else None
         for a in range(n):
             base = best[a]
             node = root.get(word[a])
             if node is None or node[1] is None:
                 edge = self._spelling(word[a])
-                if base + edge[0] > best[a + 1]:
-                    best[a + 1], back[a + 1] = base + edge[0], a
+                value = base + edge[0]
+                if value > best[a + 1]:
+                    best[a + 1] = value
                 if held:
-                    into[a + 1].append((a, edge))
+                    into[a + 1].append((value, a, edge[1]))
             b = a
             while node is not None:
                 b += 1
@@ -128,13 +129,12 @@ class PieceModel:
                     value = base + edge[0]
                     if value > best[b]:
                         best[b] = value
-                        back[b] = a
                     if held:
-                        into[b].append((a, edge))
+                        into[b].append((value, a, edge[1]))
                 if b == n or level is None:
                     break
                 node = level.get(word[b])
-        return best, back, into
+        return best, into
 
     def edge(self, word: str, a: int, b: int) -> tuple[float, tuple[int, ...]] | None:
         """Score and ids of the edge between two places, if there is one."""
@@ -143,50 +143,51 @@ class PieceModel:
             return self.scores[word[a:b]], (i,)
         return self._spelling(word[a]) if b == a + 1 else None
 
-    def _into(self, word: str, place: int) -> list[tuple]:
+    def _into(self, word: str, place: int, best: list[float]) -> list[tuple]:
         """The edges into a place of a long word, of which no edges are held."""
-        return [(a, e) for a in range(max(0, place - self.longest), place) if (e := self.edge(word, a, place)) is not None]
-
-    def nbest_word(self, word: str, n: int, spell_last: bool = True) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations with their scores, best first.  Without ``spell_last`` the last one's ids are left out.
-
-        A* from the end: the Viterbi scores are exact heuristics, so the best edge into
-        a place never loses and is followed at once; the other edges wait in the queue
-        by what they lose.  Of those, only as many as are still asked for can matter.
+        return [(best[a] + e[0], a, e[1]) for a in range(max(0, place - self.longest), place) if (e := self.edge(word, a, place)) is not None]
+
+    def nbest_word(self, word: str, n: int) -> list[tuple[float, list[int]]]:
+        """The ``n`` best segmentations with their scores, best first.
+
+        A* from the end: every step takes the path from the queue that loses least
+        against the best segmentation and puts it back with each edge into its place in
+        front.  The Viterbi scores are exact heuristics, so what a path loses is what its
+        best completion loses, and one that leaves the queue at the start of the word is
+        the next best.  Among equal losses the one nearest the start goes first.  An edge
+        that begins another completion than the path's best is queued only if fewer than
+        ``n`` - 1 of those so far lose as little: no more can still be asked for.
         """
-        best, back, into = self.forward(word, len(word) <= CACHE_CHARS)
+        best, into = self.forward(word, len(word) <= CACHE_CHARS)
+        push, pop = heapq.heappush, heapq.heappop
         found: list[tuple[float, list[int]]] = []
-        heap: list[tuple[float, int, int, tuple | None]] = [(0.0, 0, len(word), None)]
-        count = 0
-        known: list[float] = []  # the smallest losses queued so far, largest first
+        heap: list[tuple[float, int, int, tuple | None]] = [(0.0, len(word), 0, None)]
+        count, bound = 0, math.inf if n > 1 else -math.inf
+        known: list[float] = []  # the smallest losses of other completions so far, largest first
         while heap and len(found) < n:
-            lost, _, place, path = heapq.heappop(heap)
-            more = len(found) + 1 < n
-            if not more and not spell_last:  # its score is known when it leaves the queue
-                found.append((best[-1] - lost, []))
-                break
-            while place:
-                chosen = back[place]
-                top = lost + best[place]
-                ids = ()
-                for a, other in into[place] if into is not None else self._into(word, place):
-                    if a == chosen:
-                        ids = other[1]
-                    elif more:
-                        loss = top - best[a] - other[0]
-                        if len(known) < n - 1 or loss < -known[0]:
-                            heapq.heappush(known, -loss)
-                            if len(known) > n - 1:
-                                heapq.heappop(known)
-                            count += 1
-                            heapq.heappush(heap, (loss, count, a, (other[1], path)))
-                path = ids, path
-                place = chosen
-            out: list[int] = []
-            while path is not None:
-                ids, path = path
-                out.extend(ids)
-            found.append((best[-1] - lost, out))
+            lost, place, _, path = pop(heap)
+            if not place:
+                out: list[int] = []
+                while path is not None:
+                    ids, path = path
+                    out.extend(ids)
+                found.append((best[-1] - lost, out))
+                continue
+            top, other = best[place], False
+            for value, a, ids in into[place] if into is not None else self._into(word, place, best):
+                loss = lost + (top - value)
+                if value == top and not other:
+                    other = True  # the path's own best completion; equal ones after it are others
+                elif loss < bound:
+                    push(known, -loss)
+                    if len(known) == n:
+                        pop(known)
+                    if len(known) == n - 1:
+                        bound = -known[0]
+                else:
+                    continue
+                count += 1
+                push(heap, (loss, a, count, (ids, path)))
         return found
 
     def parts(self, word: str) -> list[str]:
@@ -235,12 +236,12 @@ class Encoder:
         """Packed ids and score of the best segmentation, and how much the second is worse."""
         model = self._model()
         if len(word) <= CACHE_CHARS:
-            ways = model.nbest_word(word, 2, spell_last=False)
+            ways = model.nbest_word(word, 2)
             own = ways[0][1]
             return _PACKED[len(own)].pack(*own) if len(own) < len(_PACKED) else struct.pack(f"<{len(own)}i", *own), ways[0][0], ways[0][0] - ways[1][0] if len(ways) > 1 else math.inf
         ids, total, gap = [], 0.0, math.inf
         for part in model.parts(word):
-            ways = model.nbest_word(part, 2, spell_last=False)
+            ways = model.nbest_word(part, 2)
             ids.append(struct.pack(f"<{len(ways[0][1])}i", *ways[0][1]))
             total += ways[0][0]
             if len(ways) > 1:

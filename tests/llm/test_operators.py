@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import heapq
 import random
 import re
+import types
 
 import numpy as np
 import pytest
@@ -309,6 +311,37 @@ def test_pieces(spark, docs, texts):
     assert back == {k: t or "" for k, t in enumerate(texts)}
 
 
+def test_pieces_leave_the_queue(monkeypatch):
+    """What encoding asks of the search: both segmentations spelt out, every place of theirs taken from the queue."""
+    encoder = pieces.Encoder(pieces.default_model())
+    model, search, taken = encoder._model(), pieces.PieceModel.nbest_word, []
+
+    def pop(heap):
+        got = heapq.heappop(heap)
+        taken.append(got)
+        return got
+
+    def checked(self, word, n, **how):
+        taken.clear()
+        ways = search(self, word, n, **how)
+        places = collections.Counter(x[1] for x in taken if isinstance(x, tuple))
+        every = _all_ways(model, word) if len(word) < 12 else None
+        assert every is None or np.allclose([s for s, _ in ways], [s for s, _ in every[:n]])
+        for _, ids in ways:
+            data = b"".join(model.spelt[i] for i in ids)
+            assert data == word.replace("▁", " ").encode()
+            ends = np.cumsum([len(model.spelt[i]) for i in ids]).tolist()
+            assert "😀" in word or all(places[k] for k in [0, *ends])
+        assert places[0] == len({tuple(ids) for _, ids in ways}) == len(ways) == (n if every is None else min(n, len(every)))
+        return ways
+
+    monkeypatch.setattr(pieces, "heapq", types.SimpleNamespace(heappush=heapq.heappush, heappop=pop, nlargest=heapq.nlargest))
+    monkeypatch.setattr(pieces.PieceModel, "nbest_word", checked)
+    for word in ("▁hello", "erention", "abcabc", "x😀yz", "▁▁the", "tion" * 4, "tion" * 30):
+        data, score, gap = encoder._solve(word)
+        assert len(data) and gap >= 0 and score < 0
+
+
 def test_pieces_of_whole_texts(spark):
     """Every column of the query against all segmentations of short texts."""
     model = pieces.encoder_for(pieces.default_model())._model()
