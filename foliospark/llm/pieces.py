@@ -236,6 +236,10 @@ class Encoder:
         """Packed ids and score of the best segmentation, and how much the second is worse."""
         model = self._model()
         if len(word) <= CACHE_CHARS:
+            for k in range(len(word) - 1, max(len(word) - 5, 0), -1):  # marks at a word's end, between which and it no piece lies
+                if word[k - 1 : k + 1] not in model.pairs:
+                    (ids, score, gap), (more, rest, other) = self.cache[word[:k]], self.cache[word[k:]]
+                    return ids + more, score + rest, min(gap, other)
             ways = model.nbest_word(word, 2)
             own = ways[0][1]
             return _PACKED[len(own)].pack(*own) if len(own) < len(_PACKED) else struct.pack(f"<{len(own)}i", *own), ways[0][0], ways[0][0] - ways[1][0] if len(ways) > 1 else math.inf

@@ -342,6 +342,18 @@ def test_pieces_leave_the_queue(monkeypatch):
         assert len(data) and gap >= 0 and score < 0
 
 
+def test_pieces_of_words_cut_before_their_marks():
+    """A word solved as two, cut where no piece lies over the cut, has the score and the gap of the whole word's lattice."""
+    encoder = pieces.Encoder(pieces.default_model())
+    model = encoder._model()
+    for word in ("▁hello&&&", "▁tion!!", "▁the.", "übera.,", "a日本", "&&&&", "▁$"):
+        data, score, gap = encoder._solve(word)
+        best, second = model.nbest_word(word, 2)[0], _all_ways(model, word)[1:2]
+        assert score == pytest.approx(best[0]) == pytest.approx(_all_ways(model, word)[0][0])
+        assert gap == pytest.approx(best[0] - second[0][0]) if second else gap == np.inf
+        assert encoder.decode(np.frombuffer(data, "<i4").tolist()) == word.replace("▁", " ").removeprefix(" ")
+
+
 def test_pieces_of_whole_texts(spark):
     """Every column of the query against all segmentations of short texts."""
     model = pieces.encoder_for(pieces.default_model())._model()
