@@ -80,7 +80,7 @@ def components(edges: DataFrame, label: str = "components", fold: int = FOLD) ->
     """
     clean = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct()
     kind = clean.schema["a"].dataType.simpleString()
-    held = stored(clean, label)
+    held = stored(clean, label, few=True)
     seen = None
     while True:
         tasks = max(1, -(-held.count() // fold))
@@ -89,7 +89,7 @@ def components(edges: DataFrame, label: str = "components", fold: int = FOLD) ->
         held = made
         if tasks == 1:
             break
-        made = stored(_star(_star(held, small=False), small=True), label)
+        made = stored(_star(_star(held, small=False), small=True), label, few=True)
         drop_stored(held)
         held = made
         now = tuple(held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())

@@ -238,13 +238,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     id are judged each for itself.  Texts without words all stay.
     """
     columns = docs.columns
-    classed = stored(_classed(docs, id_col, text_col, percent).where("n > 0").select("id", "text_key", F.coalesce("root", "same").alias("of")), "classed")
+    classed = stored(_classed(docs, id_col, text_col, percent).where("n > 0").select("id", "text_key", F.coalesce("root", "same").alias("of")), "classed", few=True)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key"))
     best = classed.groupBy("of").agg(first.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("of", "best.id", "best.text_key")
-    several = stored(classed.join(best.select("of", F.col("id").alias("best_id"), F.col("text_key").alias("best_key")), "of"), "several")
+    several = stored(classed.join(best.select("of", F.col("id").alias("best_id"), F.col("text_key").alias("best_key")), "of"), "several", few=True)
     beaten = ~(F.col("id").eqNullSafe(F.col("best_id")) & (F.col("text_key") == F.col("best_key")))
     losers = several.where(beaten).select("id", "text_key").distinct()
-    repeats = stored(several.where(~beaten).groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats")
+    repeats = stored(several.where(~beaten).groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats", few=True)
     own = unused(columns, "text_key")
     keyed = docs.withColumn(own, F.unhex(F.sha2(text_bytes(docs[text_col]), 256)))
     met = lambda other: keyed[id_col].cast("long").eqNullSafe(other["id"]) & (keyed[own] == other["text_key"])
@@ -266,12 +266,13 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     classes = stored(
         signed.where("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")),
         "classes",
+        few=True,
     )
     banded = classes.select("same", "n", F.explode("bands").alias("key"))
     pivots = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("same", F.lit(k)).alias("by"), "same", "n")) for k in range(PIVOTS))))
     buckets = banded.groupBy("key").agg(pivots.alias("pivots"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = buckets.select("key", F.array_distinct(F.transform("pivots", lambda p: F.struct(p["same"].alias("same"), p["n"].alias("n")))).alias("pivots"))
-    members = stored(banded.join(buckets, "key").select("key", "same", "n", "pivots"), "members")
+    members = stored(banded.join(buckets, "key").select("key", "same", "n", "pivots"), "members", few=True)
 
     sets = _candidate_sets(rows, classes.select("same", "rep"), members)
     stars = members.select("same", "n", F.explode("pivots").alias("p")).select("same", "n", F.col("p.same").alias("pivot"), F.col("p.n").alias("pivot_n"))
@@ -280,14 +281,14 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     left = sets.select(F.col("same").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("same").alias("b"), F.col("hashes").alias("y"))
     # Sets are large: they meet their pairs by a merge at every size of the corpus.
-    links = stored(_edges(stars.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y"), _verify(percent)), "links")
-    roots = stored(components(links), "roots")
+    links = stored(_edges(stars.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y"), _verify(percent)), "links", few=True)
+    roots = stored(components(links), "roots", few=True)
     free_shuffles(spark)
 
     # Buckets that still hold several components; pairs with a pivot are verified already.
     pivot = F.exists("pivots", lambda p: p["same"] == F.col("same"))
     rooted = members.select("key", "same", pivot.alias("pivot")).join(roots.withColumnRenamed("node", "same"), "same", "left")
-    rooted = stored(rooted.select("key", "same", "pivot", F.coalesce("root", "same").alias("root")), "rooted")
+    rooted = stored(rooted.select("key", "same", "pivot", F.coalesce("root", "same").alias("root")), "rooted", few=True)
     parts = rooted.where("NOT pivot").groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
     small = F.sum(F.when(F.col("own") < BLOCK, F.col("own")).otherwise(0))
     several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), small.alias("small")).where("parts > 1")
@@ -296,27 +297,27 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     # The graph of components is small: its own components give every node its final root.
     name = lambda of: roots.select(F.col("node").alias(of), F.col("root").alias(f"{of}_root"))
     met = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    above = stored(components(met, "joined"), "above")
+    above = stored(components(met, "joined"), "above", few=True)
     rest = above.join(roots.select("node"), "node", "left_anti")
-    final = stored(roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(rest), "final")
+    final = stored(roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(rest), "final", few=True)
 
     named = classes.select("same", "rep", "copies").join(final.withColumnRenamed("node", "same"), "same", "left").select("same", "rep", "copies", "root")
     smallest = named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component"))
     owners = named.join(smallest, "root", "left").select("same", F.coalesce("component", "rep").alias("component"), "copies", "root")
     # Rows that are alone need no lookup; hot classes are joined by rows that Spark can split.
-    shared = stored(owners.where("copies > 1 OR root IS NOT NULL").select("same", "component", "root"), "owners")
+    shared = stored(owners.where("copies > 1 OR root IS NOT NULL").select("same", "component", "root"), "owners", few=True)
     drop_stored(classes, members, sets, links, roots, rooted, above, final)
     return signed.select("id", "text_key", "n", "same").join(shared, "same", "left")
 
 
 def _candidate_sets(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
     """Full sets of the classes that share a bucket with another: (same, hashes)."""
-    wanted = stored(members.select("same").distinct().join(classes, "same").select("same", F.col("rep").alias("id")), "wanted")
+    wanted = stored(members.select("same").distinct().join(classes, "same").select("same", F.col("rep").alias("id")), "wanted", few=True)
     # A class whose rows all lack an id is looked up by the null id.
     n = wanted.count()
     side = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
     asked = rows.join(side, rows["id"].eqNullSafe(side["id"])).select("same", "text")
-    return stored(asked.mapInArrow(_sets_all, "same binary, hashes binary").dropDuplicates(["same"]), "sets")
+    return stored(asked.mapInArrow(_sets_all, "same binary, hashes binary").dropDuplicates(["same"]), "sets", few=True)
 
 
 def _cross_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +331,7 @@ def _cross_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("key", "block")
         .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("same", "root", "hashes")).alias("held"))
     )
-    blocks = stored(blocks, "blocks")
+    blocks = stored(blocks, "blocks", few=True)
     other = blocks.select("key", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("held").alias("theirs"))
     pairs = blocks.join(other, "key").where("block <= block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
     return _edges(pairs.select("held", "theirs"), _across(percent)).distinct()

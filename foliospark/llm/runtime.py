@@ -91,13 +91,30 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here. With ``keep`` it outlives a scope."""
+#: Tasks a core, and shuffle partitions a task, with which a frame is stored in few files.
+TASKS_A_CORE, PARTITIONS_A_TASK = 4, 8
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in no more tasks than keep all cores busy, or than one for some shuffle partitions; no row moves.
+
+    On a local folder Hadoop starts a process for each file that it creates, to set its
+    permissions, and until that runs it shares the executor's memory and counts as as
+    much again.  A frame that is stored from hundreds of nearly empty shuffle partitions
+    would start hundreds.
+    """
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, partitions // PARTITIONS_A_TASK))
+
+
+def stored(df: DataFrame, label: str, keep: bool = False, few: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here. With ``keep`` it outlives a scope, with ``few`` see ``few_files``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if _SCOPES and not keep:
         _SCOPES[-1].append(path)
-    df.write.parquet(path)
+    (few_files(df) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

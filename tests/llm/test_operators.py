@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import byte_duplicates, decontaminate, licences, near_duplicates, personal_data, pieces, quality, secrets, warc, word_duplicates
 from foliospark.llm.automaton import SuffixAutomaton
+from foliospark.llm import components as components_module
 from foliospark.llm.components import components
-from foliospark.llm.runtime import tune
+from foliospark.llm.runtime import TASKS_A_CORE, tune
 
 DOCS = "doc_id long, text string, n_words string, id string, kept string, n_chars long"
 WS = "[^\x20\x09-\x0d]+"
@@ -214,6 +215,37 @@ def test_near_duplicates(spark):
     assert by_row(near_duplicates.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
 
 
+def test_near_duplicates_in_few_files(spark, monkeypatch):
+    """Frames stored from very many shuffle partitions do not become as many files; the classes are the same."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[k % 40 : k % 40 + 60])) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = by_row(near_duplicates.duplicate_classes(docs))
+    files = {}
+
+    def counted(store):
+        def run(df, label, *a, **b):
+            made = store(df, label, *a, **b)
+            files[label] = max(files.get(label, 0), len(made.inputFiles()))
+            return made
+
+        return run
+
+    for module in (near_duplicates, components_module):
+        monkeypatch.setattr(module, "stored", counted(module.stored))
+    held = {"spark.sql.shuffle.partitions": "151", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert by_row(near_duplicates.duplicate_classes(docs)) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, 151 // 8)
+    assert {"classes", "members", "sets", "links", "owners", "components"} <= set(files) and max(files.values()) <= most, files
+
+
 @pytest.mark.parametrize("fold", [200_000, 1])
 def test_components(spark, fold):
     tune(spark)
