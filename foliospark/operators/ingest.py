@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 # Extensions and their media types.
 MEDIA_TYPES = {
     ".md": "text/markdown",
@@ -218,15 +220,38 @@ def evidence(text: str, limit: int = 600) -> list[str]:
     return out
 
 
+#: Items go back from Python in packs of about this many characters of text, and of no more rows.
+PACK_CHARS, PACK_ROWS = 1 << 20, 10_000
+
+
 def per_document(docs: DataFrame, id_col: str, text_col: str, work: Callable[[str], list[tuple]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """Run a text machine on every text: (id, ordinal, fields), one row per item it makes."""
+    """Run a text machine on every text: (id, ordinal, fields), one row per item it makes.
+
+    A worker holds an Arrow batch, one text with its items and the pack that they fill.
+    """
     schema = pa.schema([(id_col, pa.int64()), ("ordinal", pa.int64()), *((n, t) for n, _, t in fields)])
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=f.type) for c, f in enumerate(schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
         for batch in batches:
-            rows = [(i, k, *item) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, item in enumerate(work(text or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=f.type) for c, f in enumerate(schema)], schema=schema)
-
+            for i, value in zip(batch.column(0), batch.column(1), strict=True):
+                i, text = i.as_py(), value.as_py() or ""
+                for k, item in enumerate(work(text)):
+                    rows.append((i, k, *item))
+                    if len(rows) >= PACK_ROWS:
+                        yield packed(rows)
+                        rows, chars = [], 0
+                chars += len(text)
+                if rows and chars >= PACK_CHARS:
+                    yield packed(rows)
+                    rows, chars = [], 0
+        if rows:
+            yield packed(rows)
+
+    bound_batches(docs.sparkSession)
     ddl = f"`{id_col}` long, ordinal long, " + ", ".join(f"{n} {k}" for n, k, _ in fields)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
 

@@ -36,5 +36,14 @@ def builder(app: str = "foliospark") -> SparkSession.Builder:
     )
 
 
+#: Arrow batches handed to Python hold about this many bytes, however long the texts are.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """The bound on rows alone admits 10 000 texts of any length in one Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

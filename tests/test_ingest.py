@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -105,3 +106,31 @@ def test_page_tools():
     assert "## A\n\nnew\n\n## C" in out and "two" not in out
     assert "## D\n\nx" in pages.edit_section(text, "upsert", "D", "x")
     assert "## C" not in pages.edit_section(text, "remove", "C")
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """Bounded by rows alone, 400 texts of 100 000 characters came as one Arrow batch and went back as one."""
+
+    class Rows:
+        sparkSession = spark
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    run = ingest.document_blocks(Rows(), "doc_id", "text")
+    text = "line\n\n" * 16_667
+    made = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": [*range(40)], "text": [text] * 40})])))
+    assert sum(b.num_rows for b in made) == 40 * 16_667 and max(b.num_rows for b in made) <= 10_000
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    docs = spark.range(0, 400, 1, 1).select(F.col("id"), F.repeat(F.lit("x"), 100_000).alias("text"))
+    sizes = [r.n for r in docs.mapInArrow(rows, "n long").collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 45
+
+
+def test_items_leave_python_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "PACK_CHARS", 50)
+    monkeypatch.setattr(ingest, "PACK_ROWS", 7)
+    texts = ["a\n\n" * n for n in (0, 1, 6, 7, 8, 30)] + [None, "b" * 200, "c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in ingest.document_blocks(docs, "doc_id", "text").collect()]
+    assert sorted(got) == sorted((i, k, *b) for i, t in enumerate(texts) for k, b in enumerate(ingest.blocks(t or "")))
