@@ -1,12 +1,16 @@
 """Queries over whole tables, against brute force."""
 
+import duckdb
 import pytest
 
 from foliospark.functions import text as T
 from foliospark.operators import numbering
-from foliospark.plans import knowledge
+from foliospark.operators import retrieval as operators
+from foliospark.plans import knowledge, retrieval
 from foliospark.session import table
 
+from . import compare
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -87,3 +91,33 @@ def test_short_quotes(spark, tmp_path, monkeypatch, bound):
     got = sorted((r.item_id, r.doc_id) for r in knowledge.quote_in_chunk(spark, str(tmp_path)).collect())
     flat = [" ".join(t.split()) if t is not None else None for t in texts]
     assert got == [(i, d) for i, q in enumerate(quotes) for d, t in enumerate(flat) if q is not None and t is not None and q in t]
+
+
+def _odd_tables(spark, path):
+    words = [f"w{k}" for k in range(40)]
+    texts = [(i % 90 if i % 7 else i, " ".join(words[(i * k) % 40] for k in range(i % 23))) for i in range(120)]  # some ids stand twice
+    docs = [*texts, (500, None), (501, ""), (None, "w1 w2 w3"), (502, "w1 w2 w3"), (503, "the x W1 w1")]
+    items = [(i, " ".join(words[(i * 3 + k) % 40] for k in range(i % 9))) for i in range(30)] + [(4, "w1 w9 w1"), (100, None), (101, "the of"), (102, "w1 w2 w3")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").repartition(2).write.parquet(f"{path}/benchmark.parquet")
+
+
+@pytest.mark.parametrize(("terms", "pairs"), [(100_000, 4_000_000), (10, 40), (1, 1)])
+def test_benchmark_queries_in_blocks_and_packs(spark, tmp_path, monkeypatch, terms, pairs):
+    """Repeated and missing ids and texts, ties, several blocks of queries and packs of texts."""
+    monkeypatch.setattr(operators, "BLOCK_TERMS", terms)
+    monkeypatch.setattr(operators, "PACK_PAIRS", pairs)
+    _odd_tables(spark, tmp_path)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert compare.differences(spark, con, str(tmp_path), retrieval.benchmark_queries, retrieval.SQL["benchmark_queries"]) == ""
+
+
+def test_benchmark_queries_send_only_the_best(spark):
+    """A task kept and sent a row for every pair of item and text that share a word; now it sends 5 an item at most."""
+    made = retrieval.benchmark_queries(spark, SF)
+    sent = [p for p in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in p or "Join" in p]
+    items, tasks = table(spark, SF, "benchmark").count(), table(spark, SF, "documents").rdd.getNumPartitions()
+    files = {f for f in made.inputFiles() if "most-shared" in f}
+    assert not sent and 0 < spark.read.parquet(*files).count() <= 5 * items * tasks
